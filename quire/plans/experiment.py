@@ -60,3 +60,141 @@ def preprocess_and_reduce(cohort: DataFrame, features: list[str], key: str, labe
         ev = float(sum(model.reducer.explained_variance_ratio))
     return PreprocessedSplit(tr_pre, te_pre, tr_red, te_red, model, len(model.features),
                              model.output_dim, ev)
+
+
+# --------------------------------------------------------------------------- models
+
+def score_model(spec, train: DataFrame, test: DataFrame, features, label: str, key: str):
+    """Fit on train, predict test → (predictions frame, metric-record frame with ``model``)."""
+    from quire.operators.metrics import evaluate
+    fitted = spec.fit(train, features, label)
+    pred = fitted.predict(test, keep=[key, label])
+    rec = evaluate(pred, label, "prediction", "score").withColumn("model", F.lit(spec.name))
+    return pred, rec
+
+
+def cross_validate(spec, train: DataFrame, features, label: str, key: str, k: int = 5,
+                   seed: int = 42, parallelism: int = 2) -> DataFrame:
+    """Refit per stratified fold; per-metric mean and population sd over folds."""
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce
+    from quire.operators.metrics import METRICS, evaluate, fold_summary
+    from quire.operators.split import stratified_folds
+    folded = stratified_folds(train, key, label, k=k, seed=seed).cache()
+
+    def one(f):
+        fitted = spec.fit(folded.where(F.col("fold") != f), features, label)
+        pred = fitted.predict(folded.where(F.col("fold") == f), keep=[key, label])
+        return evaluate(pred, label, "prediction", "score").withColumn("fold", F.lit(f)).cache()
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts = list(pool.map(one, range(k)))
+    per_fold = reduce(DataFrame.unionByName, parts)
+    return fold_summary(per_fold, METRICS + ["auc_roc"]).withColumn("model", F.lit(spec.name))
+
+
+def tune(name: str, train: DataFrame, features, label: str, key: str, n_trials: int | None = None,
+         seed: int = 42, k: int = 5, parallelism: int = 2) -> tuple[dict, float]:
+    """Seeded random search maximising mean F1 of the positive class over stratified folds.
+
+    A trial whose fit fails scores 0.
+    """
+    import numpy as np
+    from quire.operators.models import DEFAULT_TRIALS, build_model, positive_weight, sample_params
+    from quire.operators.metrics import confusion_counts, metrics_from_counts
+    from quire.operators.split import stratified_folds
+    rng = np.random.default_rng(seed)
+    spw = positive_weight(train, label)
+    folded = stratified_folds(train, key, label, k=k, seed=seed).cache()
+    best, best_score = {}, -1.0
+    for _ in range(n_trials or DEFAULT_TRIALS[name]):
+        params = sample_params(name, rng)
+        spec = build_model(name, params, spw)
+        try:
+            preds = []
+            for f in range(k):
+                fitted = spec.fit(folded.where(F.col("fold") != f), features, label)
+                preds.append(fitted.predict(folded.where(F.col("fold") == f), keep=[label])
+                             .withColumn("fold", F.lit(f)))
+            from functools import reduce
+            allp = reduce(DataFrame.unionByName, preds)
+            m = metrics_from_counts(confusion_counts(allp, label, "prediction", ["fold"]), ["fold"], None)
+            score = float(m.agg(F.avg("f1_ap")).first()[0] or 0.0)
+        except Exception:  # noqa: BLE001 - failed trial scores 0
+            score = 0.0
+        if score > best_score:
+            best, best_score = params, score
+    folded.unpersist()
+    return best, best_score
+
+
+@dataclass
+class ExperimentResult:
+    test_results: DataFrame
+    cv_results: DataFrame
+    summary: DataFrame
+    best_params: dict
+
+
+def run_experiment(cohort: DataFrame, features: list[str], key: str, label: str, dr_config=None,
+                   models: list[str] | None = None, n_trials: int | None = None,
+                   skip_tuning: bool = True, cv_folds: int = 5) -> ExperimentResult:
+    """Split → preprocess/reduce → (tune) → CV → test; results as DataFrames."""
+    from functools import reduce
+    from quire.operators.models import MODEL_NAMES, build_model, positive_weight
+    from quire.operators.reducers import build_pipeline
+    from quire.operators.reducers.registry import output_folder_name
+    spark = cohort.sparkSession
+    split = preprocess_and_reduce(cohort, features, key, label, build_pipeline(dr_config))
+    train = split.train_reduced.cache()
+    test = split.test_reduced
+    feats = [c for c in train.columns if c not in (key, label)]
+    spw = positive_weight(train, label)
+    names = models or MODEL_NAMES
+    best, test_rows, cv_rows = {}, [], []
+    for name in names:
+        params = {}
+        if not skip_tuning:
+            params, _ = tune(name, train, feats, label, key, n_trials)
+        best[name] = params
+        spec = build_model(name, params, spw)
+        cv_rows.append(cross_validate(spec, train, feats, label, key, k=cv_folds))
+        _, rec = score_model(spec, train, test, feats, label, key)
+        test_rows.append(rec)
+    test_df = reduce(DataFrame.unionByName, test_rows)
+    cv_df = reduce(DataFrame.unionByName, cv_rows)
+    counts = split.train.agg(F.count(F.lit(1)).alias("n_train"),
+                             F.count_if(F.col(label) == 1).alias("ap_train")).first()
+    tcounts = split.test.agg(F.count(F.lit(1)).alias("n_test"),
+                             F.count_if(F.col(label) == 1).alias("ap_test")).first()
+    summary = spark.createDataFrame([(
+        output_folder_name(dr_config), counts["n_train"], tcounts["n_test"], counts["ap_train"],
+        tcounts["ap_test"], split.n_features_after, split.n_features_before, cv_folds,
+        round(split.explained_variance, 4), skip_tuning, names)],
+        "dr_method string, n_train long, n_test long, ap_train long, ap_test long, "
+        "n_features_after_dr long, n_features_before_dr long, cv_folds long, "
+        "cumulative_variance_explained double, skip_tuning boolean, models array<string>")
+    return ExperimentResult(test_df, cv_df, summary, best)
+
+
+def sweep(cohort: DataFrame, features: list[str], key: str, label: str, methods: list,
+          models: list[str] | None = None, **kwargs) -> tuple[DataFrame | None, DataFrame | None, list]:
+    """Run every method; a failing method is reported and does not stop the rest.
+
+    Returns (test results, cv results) unioned with a ``method`` column, and
+    the list of (method, error) failures.
+    """
+    from functools import reduce
+    from quire.operators.reducers.registry import output_folder_name
+    tests, cvs, failures = [], [], []
+    for m in methods:
+        name = output_folder_name(m)
+        try:
+            r = run_experiment(cohort, features, key, label, m, models, **kwargs)
+            tests.append(r.test_results.withColumn("method", F.lit(name)))
+            cvs.append(r.cv_results.withColumn("method", F.lit(name)))
+        except Exception as e:  # noqa: BLE001
+            failures.append((name, f"{type(e).__name__}: {e}"))
+    t = reduce(DataFrame.unionByName, tests) if tests else None
+    c = reduce(DataFrame.unionByName, cvs) if cvs else None
+    return t, c, failures
