@@ -10,8 +10,12 @@ phases so no group is ever gathered into one task:
 3. exclusive prefix of slice totals per group (at most ``n`` rows per group);
 4. global running sum = slice offset + local running sum.
 
-The range exchange is shared by steps 2 and 3 (one ``ReusedExchange``), so
-both see the same slice boundaries; the offsets table has at most
+Steps 2 and 3 must see identical slices. Two executions of a range exchange
+sample their bounds independently (and column pruning keeps Spark from
+reusing one exchange for both branches), so the slice assignment is
+materialised once with a reliable checkpoint in the session's checkpoint
+folder: both branches read the same files, lost executors cannot change the
+assignment, and the lineage is cut. The offsets table has at most
 ``n + groups`` rows and is broadcast only under that bound.
 """
 from __future__ import annotations
@@ -40,8 +44,10 @@ def running_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     spark = df.sparkSession
     n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     order = [_as_col(c) for c in order_cols]
+    from quire.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     ranged = df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order) \
-        .withColumn(PID, F.spark_partition_id())
+        .withColumn(PID, F.spark_partition_id()).checkpoint(eager=True)
     local_w = (Window.partitionBy(PID, *group_cols).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.select("*", *[F.sum(c).over(local_w).alias(f"_loc_{c}") for c in sum_cols])

@@ -40,7 +40,7 @@ def allocate(class_counts: dict, n_draws: int) -> dict:
     return floored
 
 
-def test_quota(class_counts: dict, test_size: float = 0.2) -> dict:
+def holdout_quota(class_counts: dict, test_size: float = 0.2) -> dict:
     n = sum(class_counts.values())
     n_test = math.ceil(test_size * n)
     train = allocate(class_counts, n - n_test)
@@ -57,7 +57,7 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
     """
     counts = {r[label]: r["n"] for r in
               df.groupBy(quote(label).alias(label)).agg(F.count(F.lit(1)).alias("n")).collect()}
-    quota = test_quota(counts, test_size)
+    quota = holdout_quota(counts, test_size)
     spark = df.sparkSession
     qdf = spark.createDataFrame([(k, int(v)) for k, v in quota.items()],
                                 f"{label} {df.schema[label].dataType.simpleString()}, _quota long")
