@@ -185,3 +185,25 @@ def table_summary(tables: dict[str, DataFrame], key: str | None = None,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def column_modes(freq: DataFrame) -> DataFrame:
+    """(column, mode): the most frequent non-null value; ties → the smallest value."""
+    nn = freq.where(F.col("value").isNotNull())
+    return nn.groupBy("column").agg(
+        F.min_by("value", F.struct((-F.col("n")).alias("neg_n"), F.col("value"))).alias("mode"))
+
+
+def impute_most_frequent(df: DataFrame, cols: Sequence[str], modes: dict) -> DataFrame:
+    """Fill nulls with the fitted modes (a projection)."""
+    repl = {c: F.coalesce(numeric_double(quote(c)), F.lit(float(modes[c]))).alias(c)
+            for c in cols if modes.get(c) is not None}
+    return df.select(*[repl.get(c, quote(c)) for c in df.columns])
+
+
+def one_hot(df: DataFrame, categories: dict, drop_source: bool = True) -> DataFrame:
+    """Indicator columns ``<col>=<value>`` for the fitted category lists; unseen → all 0."""
+    extra = [(quote(c).cast("double") == F.lit(float(v))).cast("double").alias(f"{c}={v:g}")
+             for c, vals in categories.items() for v in vals]
+    keep = [quote(c) for c in df.columns if not (drop_source and c in categories)]
+    return df.select(*keep, *extra)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
@@ -41,8 +41,8 @@ class LSAModel:
         tc = term_counts(df, self.key, self.text)
         idf = spark.createDataFrame(list(self.idf.items()), "term string, idf double")
         w = tc.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-        norms = w.groupBy(self.key).agg(F.sqrt(F.sum(F.col("raw") ** 2)).alias("norm"))
-        return w.join(norms, self.key).select(self.key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+        norm = F.sqrt(F.sum(F.col("raw") ** 2).over(Window.partitionBy(self.key)))
+        return w.select(self.key, "term", (F.col("raw") / norm).alias("w"))
 
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
         spark = df.sparkSession

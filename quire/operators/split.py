@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +56,21 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
     The per-class counts (one row per class) are the only data that reaches
     the driver; the quota table joins back as a broadcast of that size.
     """
-    counts = {r[label]: r["n"] for r in
-              df.groupBy(quote(label).alias(label)).agg(F.count(F.lit(1)).alias("n")).collect()}
-    quota = holdout_quota(counts, test_size)
-    spark = df.sparkSession
-    qdf = spark.createDataFrame([(k, int(v)) for k, v in quota.items()],
-                                f"{label} {df.schema[label].dataType.simpleString()}, _quota long")
     h = "_h"
-    ranked = global_row_number(df.withColumn(h, hash_order(key, seed, method)), [label],
-                               [F.col(h), quote(key)], name="_rn", num_slices=num_slices,
-                               max_groups=len(quota))
+    # The input is read by the class count, the range sampling and the slice
+    # checkpoint: keep it materialised for those three passes only.
+    base = df.withColumn(h, hash_order(key, seed, method)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = {r[label]: r["n"] for r in
+                  base.groupBy(quote(label).alias(label)).agg(F.count(F.lit(1)).alias("n")).collect()}
+        quota = holdout_quota(counts, test_size)
+        spark = df.sparkSession
+        qdf = spark.createDataFrame([(k, int(v)) for k, v in quota.items()],
+                                    f"{label} {df.schema[label].dataType.simpleString()}, _quota long")
+        ranked = global_row_number(base, [label], [F.col(h), quote(key)], name="_rn",
+                                   num_slices=num_slices, max_groups=len(quota))
+    finally:
+        base.unpersist()
     out = ranked.join(F.broadcast(qdf), label)
     return out.withColumn(flag, F.col("_rn") <= F.col("_quota")).drop("_rn", "_quota", h)
 

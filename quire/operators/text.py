@@ -9,7 +9,7 @@ or more Unicode letters, digits or '_', lower-cased, over the whole text.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
@@ -22,21 +22,27 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), 0)
 
 
-def with_bigrams(t: Column) -> Column:
-    """Unigrams followed by the space-joined pairs of consecutive tokens."""
-    # zip the token array with itself shifted by one; the last pair has a null partner
-    pairs = F.filter(F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1))),
-                                lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b))),
-                     lambda x: x.isNotNull())
-    return F.concat(t, pairs)
-
-
 def term_counts(df: DataFrame, key: str, text: str, ngram_max: int = 2) -> DataFrame:
-    """(key, term, tf): one explode per document, counted per (document, term)."""
-    toks = df.select(quote(key).alias(key), tokens(quote(text)).alias("_t"))
-    grams = with_bigrams(F.col("_t")) if ngram_max >= 2 else F.col("_t")
-    return (toks.select(key, F.explode(grams).alias("term"))
-            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    """(key, term, tf): unigrams and bigrams of each document, counted per (document, term).
+
+    Bigrams pair each token with the next one: the token array is zipped with
+    itself shifted by one and exploded (generated code, no per-element
+    lambdas); each zipped pair yields its unigram and, unless it is the last
+    token, its bigram.
+    """
+    # explicit key filter: every consumer of the counts then has the same plan
+    toks = df.where(quote(key).isNotNull()).select(quote(key).alias(key), tokens(quote(text)).alias("_t"))
+    if ngram_max >= 2:
+        t = F.col("_t")
+        zipped = F.arrays_zip(t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1)))) \
+            .cast("array<struct<cur:string,nxt:string>>")
+        pairs = toks.select(key, F.explode(zipped).alias("_z"))
+        first, nxt = F.col("_z.cur"), F.col("_z.nxt")
+        grams = pairs.select(key, F.explode(F.array(first, F.concat(first, F.lit(" "), nxt))).alias("term")) \
+            .where(F.col("term").isNotNull())
+    else:
+        grams = toks.select(key, F.explode("_t").alias("term"))
+    return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(tc: DataFrame, key: str, min_df: int = 3, max_features: int | None = 5000) -> DataFrame:
@@ -58,9 +64,9 @@ def tfidf(df: DataFrame, key: str, text: str, min_df: int = 3, max_features: int
     if max_features is not None and max_features <= BROADCAST_VOCAB_LIMIT:
         idf = F.broadcast(idf)
     w = tc.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return (w.join(norms, key)
-            .select(key, "term", (F.col("raw") / F.col("norm")).alias("tfidf")))
+    # per-document L2 norm as a window: a document holds at most max_features terms
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return w.select(key, "term", (F.col("raw") / norm).alias("tfidf"))
 
 
 def truncate_normalise(v: Column, dims: int) -> Column:

@@ -399,3 +399,45 @@ SELECT 'none' AS dr_method, count(*) FILTER (WHERE NOT is_test) AS n_train, coun
        CAST({len(FEATURES)} AS BIGINT) AS n_features_before_dr, CAST({len(FEATURES)} AS BIGINT) AS n_features_after_dr,
        CAST(5 AS BIGINT) AS cv_folds, 0.0::DOUBLE AS cumulative_variance_explained FROM split""",
 }
+
+
+def q_mode_imputation(spark, sf_dir):
+    from quire.operators.profile import column_modes, impute_most_frequent, one_hot
+    from quire.operators.reducers.base import kinds_and_categories
+    train = train_part(spark, sf_dir)
+    modes = {r["column"]: r["mode"] for r in column_modes(value_frequencies(train, FEATURES)).collect()}
+    _, found = kinds_and_categories(train, FEATURES, 10)   # ≤ 10 values per column reach the driver
+    cats = {c: [v for v, _ in vals] for c, vals in found.items()}
+    filled = impute_most_frequent(train.select(KEY, *FEATURES), [c for c in FEATURES if c in cats], modes)
+    coded = one_hot(filled.select(KEY, *cats), cats)
+    long = [c for c in coded.columns if c != KEY]
+    return coded.unpivot([KEY], long, "indicator", "value").groupBy("indicator").agg(
+        F.sum("value").alias("n_ones"))
+
+
+def q_target_counts(spark, sf_dir):
+    labels = read_table(spark, sf_dir, "labels")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    j = labels.join(docs, "doc_id")
+    return j.groupBy(F.col("toxic").alias("binary_target"), F.col("quality").alias("subtype"),
+                     F.col("source").alias("site")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["mode_imputation"] = q_mode_imputation
+QUERIES["target_counts"] = q_target_counts
+
+SQL["mode_imputation"] = f"""WITH {SPLIT},
+tl AS (SELECT * FROM (SELECT doc_id, {_FL} FROM train) UNPIVOT INCLUDE NULLS (value FOR "column" IN ({_FL}))),
+f AS (SELECT "column", value, count(*) AS n FROM tl WHERE value IS NOT NULL GROUP BY ALL),
+nd AS (SELECT "column", count(*) AS nd FROM f GROUP BY "column"),
+mode AS (SELECT "column", arg_min(value, struct_pack(a := -n, b := value)) AS mode FROM f GROUP BY "column"),
+filled AS (SELECT tl.doc_id, tl."column", coalesce(tl.value, mode.mode) AS value
+           FROM tl JOIN mode USING ("column") JOIN nd USING ("column") WHERE nd.nd <= 10),
+cats AS (SELECT f."column", f.value FROM f JOIN nd USING ("column") WHERE nd.nd <= 10)
+SELECT cats."column" || '=' || CASE WHEN cats.value = floor(cats.value) THEN CAST(CAST(cats.value AS BIGINT) AS VARCHAR)
+                                    ELSE CAST(cats.value AS VARCHAR) END AS indicator,
+       sum(CASE WHEN filled.value = cats.value THEN 1.0 ELSE 0.0 END) AS n_ones
+FROM cats JOIN filled USING ("column") GROUP BY ALL"""
+SQL["target_counts"] = """
+SELECT l.toxic AS binary_target, l.quality AS subtype, d.source AS site, count(*) AS n
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY ALL"""
