@@ -39,7 +39,8 @@ def running_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     """Add ``{prefix}{c}`` = inclusive running sum of ``c`` within each group.
 
     ``order_cols`` must make the order total (add a unique tie-breaker), as
-    with any running sum over rows.
+    with any running sum over rows. ``max_groups`` is an optional proven bound
+    on the number of groups; without it the offsets table is counted first.
     """
     spark = df.sparkSession
     n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -57,8 +58,13 @@ def running_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     offsets = totals.select(PID, *group_cols,
                             *[F.coalesce(F.sum(f"_tot_{c}").over(off_w), F.lit(0))
                               .alias(f"_off_{c}") for c in sum_cols])
-    bound = n + (max_groups if max_groups is not None else BROADCAST_ROW_LIMIT)
-    if bound <= BROADCAST_ROW_LIMIT:
+    # Broadcast only under a checked bound: a caller-proven group bound, or
+    # else the measured size of the (checkpoint-backed, cheap) totals table.
+    if max_groups is not None:
+        rows_bound = n + max_groups
+    else:
+        rows_bound = totals.count()
+    if rows_bound <= BROADCAST_ROW_LIMIT:
         offsets = F.broadcast(offsets)
     cond = [local[PID] == offsets[PID]] + [local[g].eqNullSafe(offsets[g]) for g in group_cols]
     joined = local.join(offsets, cond, "inner")

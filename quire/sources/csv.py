@@ -10,6 +10,7 @@ in file order.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,7 +98,8 @@ def csv_inventory(spark: SparkSession, roots: list[str], pattern: str = "*.csv")
         return spark.createDataFrame([], schema)
     listing = (spark.read.format("binaryFile").load(paths).select("path")
                .withColumn("path", F.col("path")))
-    files = sorted({os.path.realpath(r["path"].replace("file:", "", 1)) for r in listing.collect()})
+    # the listing is file metadata (one row per file), not table data
+    files = sorted({os.path.realpath(re.sub(r"^file:/+", "/", r["path"])) for r in listing.collect()})
     rows = []
     for p in files:
         df = (spark.read.option("header", "true").option("multiLine", "true")
@@ -106,7 +108,7 @@ def csv_inventory(spark: SparkSession, roots: list[str], pattern: str = "*.csv")
     meta = spark.createDataFrame(rows, schema)
     counts = (spark.read.option("header", "true").option("multiLine", "true")
               .option("escape", '"').csv(files)
-              .groupBy(F.regexp_replace(F.input_file_name(), "^file:", "").alias("path"))
+              .groupBy(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"))
               .agg(F.count(F.lit(1)).alias("n_rows")))
     return (meta.drop("n_rows").join(counts, "path", "left")
             .select("file", "path", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
