@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
 from quire.functions.numeric import numeric_double, z_score
-from quire.operators.profile import exact_medians, moments, value_frequencies
+from quire.operators.profile import column_medians, moments
 
 
 def train_medians(train: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    freq = value_frequencies(train, cols)
-    got = {r["column"]: r["median"] for r in exact_medians(freq, n_columns=len(cols)).collect()}
-    return {c: got.get(c) for c in cols}
+    """Exact per-column medians of the train frame (p values reach the driver)."""
+    return column_medians(train, cols)
 
 
 def impute_columns(df: DataFrame, fills: dict[str, float]) -> list[Column]:

@@ -207,3 +207,101 @@ def one_hot(df: DataFrame, categories: dict, drop_source: bool = True) -> DataFr
              for c, vals in categories.items() for v in vals]
     keep = [quote(c) for c in df.columns if not (drop_source and c in categories)]
     return df.select(*keep, *extra)
+
+
+# A column can only hold ≤ threshold distinct values if its HyperLogLog estimate
+# is at most this multiple of the threshold; at these cardinalities the
+# estimate (linear counting on 16k registers) is exact to far better than 3×.
+CANDIDATE_FACTOR = 3
+
+
+def column_profile(df: DataFrame, cols: Sequence[str], label: str | None = None,
+                   classes: Sequence[int] = (0, 1)) -> dict[str, dict]:
+    """One wide aggregate → per column: approx distinct, min, max, non-null count
+    (overall and per class). p rows of statistics reach the driver."""
+    aggs = []
+    for i, c in enumerate(cols):
+        v = numeric_double(quote(c))
+        aggs += [F.approx_count_distinct(v, 0.01).alias(f"a{i}"), F.min(v).alias(f"lo{i}"),
+                 F.max(v).alias(f"hi{i}"), F.count(v).alias(f"n{i}")]
+        if label:
+            aggs += [F.count_if(v.isNotNull() & (quote(label) == F.lit(k))).alias(f"n{i}_{k}") for k in classes]
+    row = df.select(*aggs).first()
+    out = {}
+    for i, c in enumerate(cols):
+        d = {"approx_distinct": row[f"a{i}"], "lo": row[f"lo{i}"], "hi": row[f"hi{i}"], "n": row[f"n{i}"]}
+        if label:
+            d.update({f"n_{k}": row[f"n{i}_{k}"] for k in classes})
+        out[c] = d
+    return out
+
+
+def low_cardinality_candidates(profile: dict[str, dict], threshold: int) -> list[str]:
+    bound = max(CANDIDATE_FACTOR * threshold, threshold + 20)
+    return [c for c, d in profile.items() if d["n"] > 0 and d["approx_distinct"] <= bound]
+
+
+def column_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000,
+                   num_slices: int | None = None) -> dict[str, float | None]:
+    """Exact medians (mean of the two middle values for even counts).
+
+    Pass 1 (one wide aggregate): count and a quantile sketch per column give a
+    bracket [lo, hi] around the middle ranks (sketch rank error ≤ n/accuracy,
+    bracket ±2n/accuracy). Pass 2: each value is either kept (inside the
+    bracket) or collapsed map-side into a below/above count, so only about
+    4/accuracy of the values are shuffled; the middle ranks are then found by
+    the distributed running count. A column whose bracket misses the middle
+    falls back to the full frequency table.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    d = 2.0 / accuracy
+    probs = F.array(F.lit(max(0.0, 0.5 - d)), F.lit(min(1.0, 0.5 + d)))
+    aggs = []
+    for i, c in enumerate(cols):
+        v = numeric_double(quote(c))
+        aggs += [F.count(v).alias(f"n{i}"), F.percentile_approx(v, probs, accuracy).alias(f"q{i}")]
+    row = df.select(*aggs).first()
+    stats = {c: (row[f"n{i}"], row[f"q{i}"]) for i, c in enumerate(cols)}
+    live = [c for c in cols if stats[c][0]]
+    out: dict[str, float | None] = {c: None for c in cols}
+    if not live:
+        return out
+    structs = []
+    for c in live:
+        lo, hi = (float(x) for x in stats[c][1])
+        v = numeric_double(quote(c))
+        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        structs.append(F.struct(F.lit(c).alias("column"), F.when(inside, v).alias("value"),
+                                (v < F.lit(lo)).alias("below")))
+    long = df.select(F.inline(F.array(*structs))).where(F.col("below").isNotNull())
+    cells = long.groupBy("column", "value", "below").agg(F.count(F.lit(1)).alias("n"))
+    spark = df.sparkSession
+    below = {r["column"]: r["n"] for r in
+             cells.where(F.col("below")).groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    ks = []
+    for c in live:
+        n = stats[c][0]
+        b = below.get(c, 0)
+        ks.append((c, (n + 1) // 2 - b, n // 2 + 1 - b))
+    kdf = spark.createDataFrame(ks, "column string, k1 long, k2 long")     # p rows
+    bracket = cells.where(F.col("value").isNotNull()).select("column", "value", "n")
+    cum = running_sum(bracket, ["column"], ["value"], ["n"], num_slices=num_slices, max_groups=len(live))
+    tot = bracket.groupBy("column").agg(F.sum("n").alias("n_in"))
+    picked = (cum.join(F.broadcast(kdf), "column").groupBy("column").agg(
+        F.min(F.when(F.col("cum_n") >= F.col("k1"), F.col("value"))).alias("v1"),
+        F.min(F.when(F.col("cum_n") >= F.col("k2"), F.col("value"))).alias("v2"))
+        .join(tot, "column").join(F.broadcast(kdf), "column"))
+    misses = []
+    for r in picked.collect():                                             # p rows
+        if r["k1"] < 1 or r["k2"] > r["n_in"] or r["v1"] is None or r["v2"] is None:
+            misses.append(r["column"])
+        else:
+            out[r["column"]] = (r["v1"] + r["v2"]) / 2
+    misses += [c for c in live if out[c] is None and c not in misses]
+    if misses:
+        full = exact_medians(value_frequencies(df, misses), n_columns=len(misses), num_slices=num_slices)
+        for r in full.collect():
+            out[r["column"]] = r["median"]
+    return out

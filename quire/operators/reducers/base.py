@@ -56,13 +56,18 @@ def kinds_and_categories(df: DataFrame, features: Sequence[str], threshold: int
                          ) -> tuple[list[str], dict[str, list[tuple[float, int]]]]:
     """Numeric columns, and for categorical ones the sorted (value, count) list.
 
-    One value-frequency pass; categorical columns have ≤ ``threshold`` values,
-    so what reaches the driver is bounded by threshold × p rows.
+    A wide profile pass, then exact value frequencies for low-cardinality
+    candidates only; categorical columns have ≤ ``threshold`` values, so what
+    reaches the driver is bounded by threshold × p rows.
     """
-    freq = value_frequencies(df, features).where(F.col("value").isNotNull())
-    nd = freq.groupBy("column").agg(F.count("value").alias("nd"))
-    cat_rows = (freq.join(F.broadcast(nd), "column").where(F.col("nd") <= threshold)
-                .select("column", "value", "n").collect())
+    from quire.operators.profile import column_profile, low_cardinality_candidates
+    cand = low_cardinality_candidates(column_profile(df, features), threshold)
+    cat_rows = []
+    if cand:   # exact frequencies only for columns that can be categorical
+        freq = value_frequencies(df, cand).where(F.col("value").isNotNull())
+        nd = freq.groupBy("column").agg(F.count("value").alias("nd"))
+        cat_rows = (freq.join(F.broadcast(nd), "column").where(F.col("nd") <= threshold)
+                    .select("column", "value", "n").collect())
     cats: dict[str, list[tuple[float, int]]] = {}
     for r in cat_rows:
         cats.setdefault(r["column"], []).append((r["value"], r["n"]))

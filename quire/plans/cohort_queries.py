@@ -104,6 +104,13 @@ def q_cohort_missingness(spark, sf_dir):
 
 
 def q_train_medians(spark, sf_dir):
+    med = train_medians(train_part(spark, sf_dir), FEATURES)
+    rows = [(c, float(v)) for c, v in med.items() if v is not None]
+    return spark.createDataFrame(rows, "column string, median double")
+
+
+def q_train_medians_full(spark, sf_dir):
+    """The same medians from the full value-frequency table (no bracketing)."""
     freq = value_frequencies(train_part(spark, sf_dir), FEATURES)
     return exact_medians(freq, n_columns=len(FEATURES)).where(F.col("median").isNotNull())
 
@@ -174,6 +181,7 @@ QUERIES = {
     "fold_assignment": q_fold_assignment,
     "cohort_missingness": q_cohort_missingness,
     "train_medians": q_train_medians,
+    "train_medians_full": q_train_medians_full,
     "train_moments": q_train_moments,
     "preprocessed_train": q_preprocessed_train,
     "preprocessed_test": q_preprocessed_test,
@@ -337,6 +345,7 @@ l AS (SELECT * FROM (SELECT doc_id, {FEATURE_LIST} FROM cohort)
 SELECT "column", round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_fraction
 FROM l GROUP BY "column" """,
     "train_medians": f"WITH {IMPUTED} SELECT \"column\", median FROM med WHERE median IS NOT NULL",
+    "train_medians_full": f"WITH {IMPUTED} SELECT \"column\", median FROM med WHERE median IS NOT NULL",
     "train_moments": f"""WITH {IMPUTED}
 SELECT "column", count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd
 FROM imp GROUP BY "column" """,

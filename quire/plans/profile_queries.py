@@ -246,10 +246,6 @@ vocab AS (
   ORDER BY corpus_tf DESC, term LIMIT 5000)"""
 
 
-def _nonempty_cte():
-    return ""
-
-
 SQL = {
     "value_counts_priority": """
 SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY o_orderpriority""",

@@ -90,3 +90,16 @@ def test_selector_selects_top(spark):
     model = HellingerSelector(n_features=1, use_svm_refinement=False).fit(spark.createDataFrame(pdf),
                                                                           ["noise", "good"], "y")
     assert model.selected == ["good"]
+
+
+def test_bracketed_medians(spark):
+    from quire.operators.profile import column_medians
+    rng = np.random.default_rng(13)
+    n = 5001
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 7, n).astype(float),
+                        "c": np.r_[rng.normal(size=n - 1), np.nan], "d": [np.nan] * n,
+                        "e": np.r_[np.zeros(n - 2), [5.0, 6.0]]})
+    got = column_medians(spark.createDataFrame(pdf), list(pdf.columns), accuracy=200)
+    for c in pdf.columns:
+        exp = pdf[c].median()
+        assert (got[c] is None and np.isnan(exp)) or abs(got[c] - exp) < 1e-12, c
