@@ -94,7 +94,7 @@ def cross_validate(spec, train: DataFrame, features, label: str, key: str, k: in
 
 
 def tune(name: str, train: DataFrame, features, label: str, key: str, n_trials: int | None = None,
-         seed: int = 42, k: int = 5, parallelism: int = 2) -> tuple[dict, float]:
+         seed: int = 42, k: int = 5, parallelism: int = 4) -> tuple[dict, float]:
     """Seeded random search maximising mean F1 of the positive class over stratified folds.
 
     A trial whose fit fails scores 0.
@@ -111,12 +111,14 @@ def tune(name: str, train: DataFrame, features, label: str, key: str, n_trials:
         params = sample_params(name, rng)
         spec = build_model(name, params, spw)
         try:
-            preds = []
-            for f in range(k):
+            def one(f, spec=spec):
                 fitted = spec.fit(folded.where(F.col("fold") != f), features, label)
-                preds.append(fitted.predict(folded.where(F.col("fold") == f), keep=[label])
-                             .withColumn("fold", F.lit(f)))
+                return (fitted.predict(folded.where(F.col("fold") == f), keep=[label])
+                        .withColumn("fold", F.lit(f)))
+            from concurrent.futures import ThreadPoolExecutor
             from functools import reduce
+            with ThreadPoolExecutor(max_workers=parallelism) as pool:   # folds fit concurrently
+                preds = list(pool.map(one, range(k)))
             allp = reduce(DataFrame.unionByName, preds)
             m = metrics_from_counts(confusion_counts(allp, label, "prediction", ["fold"]), ["fold"], None)
             score = float(m.agg(F.avg("f1_ap")).first()[0] or 0.0)
