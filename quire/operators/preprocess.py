@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,16 @@ class Preprocessor:
     def fit(self, train: DataFrame, features: Sequence[str], label: str | None = None,
             key: str | None = None) -> PreprocessorModel:
         features = list(features)
+        # every fit pass (profile, medians, moments, reducer) reads the same rows
+        keep = [c for c in (key, label) if c and c in train.columns]
+        train = train.select(*[quote(c) for c in keep + features]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit(train, features, label, key)
+        finally:
+            train.unpersist()
+
+    def _fit(self, train: DataFrame, features: list[str], label: str | None,
+             key: str | None) -> PreprocessorModel:
         med = train_medians(train, features)
         dropped = [c for c in features if med[c] is None]  # all-null in train: no median
         kept = [c for c in features if med[c] is not None]

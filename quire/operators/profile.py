@@ -210,8 +210,9 @@ def one_hot(df: DataFrame, categories: dict, drop_source: bool = True) -> DataFr
 
 
 # A column can only hold ≤ threshold distinct values if its HyperLogLog estimate
-# is at most this multiple of the threshold; at these cardinalities the
-# estimate (linear counting on 16k registers) is exact to far better than 3×.
+# is at most this multiple of the threshold: at ≤ 10 values the estimate
+# (linear counting on 512 registers) is within a few percent, never near 3×.
+# A too-generous estimate only sends a column through the exact path.
 CANDIDATE_FACTOR = 3
 
 
@@ -222,7 +223,7 @@ def column_profile(df: DataFrame, cols: Sequence[str], label: str | None = None,
     aggs = []
     for i, c in enumerate(cols):
         v = numeric_double(quote(c))
-        aggs += [F.approx_count_distinct(v, 0.01).alias(f"a{i}"), F.min(v).alias(f"lo{i}"),
+        aggs += [F.approx_count_distinct(v).alias(f"a{i}"), F.min(v).alias(f"lo{i}"),
                  F.max(v).alias(f"hi{i}"), F.count(v).alias(f"n{i}")]
         if label:
             aggs += [F.count_if(v.isNotNull() & (quote(label) == F.lit(k))).alias(f"n{i}_{k}") for k in classes]
@@ -241,11 +242,16 @@ def low_cardinality_candidates(profile: dict[str, dict], threshold: int) -> list
     return [c for c, d in profile.items() if d["n"] > 0 and d["approx_distinct"] <= bound]
 
 
+EXACT_MEDIAN_BUDGET = 2_000_000
+
+
 def column_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000,
-                   num_slices: int | None = None) -> dict[str, float | None]:
+                   num_slices: int | None = None, budget: int | None = None) -> dict[str, float | None]:
     """Exact medians (mean of the two middle values for even counts).
 
-    Pass 1 (one wide aggregate): count and a quantile sketch per column give a
+    Columns whose values fit ``EXACT_MEDIAN_BUDGET`` (summed over columns) use
+    the exact ``median`` aggregate in one job. For the others, pass 1 (one
+    wide aggregate): count and a quantile sketch per column give a
     bracket [lo, hi] around the middle ranks (sketch rank error ≤ n/accuracy,
     bracket ±2n/accuracy). Pass 2: each value is either kept (inside the
     bracket) or collapsed map-side into a below/above count, so only about
@@ -268,6 +274,21 @@ def column_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000,
     out: dict[str, float | None] = {c: None for c in cols}
     if not live:
         return out
+    # Checked small path: Spark's exact median keeps every value of a column in
+    # one aggregation buffer, so it is used only while the summed counts stay
+    # within a fixed budget.
+    small, budget = [], EXACT_MEDIAN_BUDGET if budget is None else budget
+    for c in live:
+        if stats[c][0] <= budget:
+            small.append(c)
+            budget -= stats[c][0]
+    if small:
+        r = df.select(*[F.median(numeric_double(quote(c))).alias(f"m{i}") for i, c in enumerate(small)]).first()
+        for i, c in enumerate(small):
+            out[c] = r[f"m{i}"]
+        live = [c for c in live if c not in small]
+        if not live:
+            return out
     structs = []
     for c in live:
         lo, hi = (float(x) for x in stats[c][1])
