@@ -72,3 +72,31 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {}
+
+
+def q_mixture_of_experts(spark, sf_dir):
+    from quire.operators.metrics import evaluate
+    from quire.plans.experts import mixture_of_experts
+    from quire.plans.profile_queries import FAMILIES
+    train, test, _ = _parts(spark, sf_dir)
+    pred = mixture_of_experts(train, test, FAMILIES, KEY, LABEL, k=5)
+    return evaluate(pred, LABEL, "prediction", "score").withColumn("model", F.lit("mixture_of_experts"))
+
+
+def q_text_aware_selection(spark, sf_dir):
+    from quire.operators.metrics import evaluate
+    from quire.plans.experts import text_aware_selection
+    from quire.sources.tables import read_table
+    split = split_cohort(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    train = split.where(~F.col("is_test")).join(docs, KEY)
+    test = split.where(F.col("is_test")).join(docs, KEY)
+    model = Preprocessor().fit(train, FEATURES, LABEL)
+    tr = model.transform(train, keep=[KEY, LABEL, "lang", "source"])
+    te = model.transform(test, keep=[KEY, LABEL, "lang", "source"])
+    pred, kept = text_aware_selection(tr, te, KEY, LABEL, model.features, ["lang", "source"], min_df=3)
+    return evaluate(pred, LABEL, "prediction", "score").withColumn("n_selected", F.lit(len(kept)))
+
+
+QUERIES["mixture_of_experts"] = q_mixture_of_experts
+QUERIES["text_aware_selection"] = q_text_aware_selection
