@@ -123,3 +123,16 @@ def test_stream_scoring(spark, tmp_path):
     q = score_stream(stream, model, ["k"], lambda b, i: got.extend(b.collect()), str(tmp_path / "ckpt"))
     q.awaitTermination(120)
     assert len(got) == 240 and set(got[0].asDict()) == {"k", "a", "b"}
+
+
+def test_mixture_and_text_selection(spark):
+    from quire.plans.experts import mixture_of_experts, text_aware_selection
+    df = _toy(spark, n=300).withColumn("kind", F.when(F.col("a") > 1, "high").otherwise("low")) \
+        .withColumn("site", F.concat(F.lit("s"), (F.col("k") % 3).cast("string")))
+    train, test = df.where("k % 5 != 0"), df.where("k % 5 = 0")
+    pred = mixture_of_experts(train, test, {"first": ["a"], "rest": ["b", "c"]}, "k", "y", k=3).toPandas()
+    assert len(pred) == 60 and pred["score"].between(0, 1).all()
+    assert {"p_first", "p_rest"} <= set(pred.columns)
+    pred2, kept = text_aware_selection(train, test, "k", "y", ["a", "b"], ["kind", "site"], min_df=2)
+    assert pred2.count() == 60 and len(kept) >= 1
+    assert all(k in ("a", "b") or k.startswith("text:") for k in kept)
