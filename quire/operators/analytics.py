@@ -54,11 +54,12 @@ def rank_table(long: DataFrame, method: str = "method", model: str = "model",
                metric: str = "metric", value: str = "value") -> DataFrame:
     """Average-rank table with a display order: lowest mean rank first (order 1)."""
     ar = average_ranks(long, method, model, metric, value)
-    overall = ar.groupBy(model).agg(F.avg("avg_rank").alias("mean_rank"))
-    order = overall.withColumn("model_order", F.row_number().over(
+    # windows over the (models × metrics) table instead of a self-join, so the
+    # source is computed once; dense_rank over (mean, model) numbers the models
+    ar = ar.withColumn("mean_rank", F.avg("avg_rank").over(Window.partitionBy(model)))
+    ar = ar.withColumn("model_order", F.dense_rank().over(
         Window.orderBy(F.asc(F.round("mean_rank", 9)), F.asc(model))).cast("bigint"))
-    return (ar.join(order, model)
-            .withColumn("cell_label", F.format_string("%.1f", F.round("avg_rank", 1))))
+    return ar.withColumn("cell_label", F.format_string("%.1f", F.round("avg_rank", 1)))
 
 
 def borda(long: DataFrame, method: str = "method", model: str = "model", metric: str = "metric",
@@ -105,10 +106,9 @@ def stability(long: DataFrame, method: str = "method", model: str = "model",
               metric: str = "metric", value: str = "value") -> DataFrame:
     """Per (model, metric) sample sd over methods, the model's mean sd, and an order (most stable first)."""
     sd = long.groupBy(model, metric).agg(F.stddev_samp(value).alias("sd"))
-    mean_sd = sd.groupBy(model).agg(F.avg("sd").alias("mean_sd"))
-    order = mean_sd.withColumn("model_order", F.row_number().over(
+    sd = sd.withColumn("mean_sd", F.avg("sd").over(Window.partitionBy(model)))
+    return sd.withColumn("model_order", F.dense_rank().over(
         Window.orderBy(F.asc(F.round("mean_sd", 9)), F.asc(model))).cast("bigint"))
-    return sd.join(order, model)
 
 
 def metric_correlation(wide: DataFrame, metrics: Sequence[str], digits: int = 2) -> DataFrame:
