@@ -432,7 +432,7 @@ filled AS (SELECT tl.doc_id, tl."column", coalesce(tl.value, mode.mode) AS value
 cats AS (SELECT f."column", f.value FROM f JOIN nd USING ("column") WHERE nd.nd <= 10)
 SELECT cats."column" || '=' || CASE WHEN cats.value = floor(cats.value) THEN CAST(CAST(cats.value AS BIGINT) AS VARCHAR)
                                     ELSE CAST(cats.value AS VARCHAR) END AS indicator,
-       sum(CASE WHEN filled.value = cats.value THEN 1.0 ELSE 0.0 END) AS n_ones
+       CAST(sum(CASE WHEN filled.value = cats.value THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS n_ones
 FROM cats JOIN filled USING ("column") GROUP BY ALL"""
 SQL["target_counts"] = """
 SELECT l.toxic AS binary_target, l.quality AS subtype, d.source AS site, count(*) AS n
