@@ -55,11 +55,17 @@ def metrics_from_counts(counts: DataFrame, group_cols: Sequence[str] = (), digit
 def roc_auc(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (),
             num_slices: int | None = None, max_groups: int | None = None) -> DataFrame:
     """(group…, auc_roc) exact Mann–Whitney AUC, ties ½; null when a class is absent."""
-    groups = list(group_cols)
     y = quote(label)
     by_score = (df.where(quote(score).isNotNull())
-                .groupBy(*[quote(g) for g in groups], quote(score).cast("double").alias("_s"))
+                .groupBy(*[quote(g) for g in group_cols], quote(score).cast("double").alias("_s"))
                 .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg")))
+    return auc_from_score_counts(by_score, group_cols, num_slices, max_groups)
+
+
+def auc_from_score_counts(by_score: DataFrame, group_cols: Sequence[str] = (),
+                          num_slices: int | None = None, max_groups: int | None = None) -> DataFrame:
+    """AUC from a (group…, _s, _pos, _neg) table with one row per distinct score."""
+    groups = list(group_cols)
     cum = running_sum(by_score, groups, ["_s"], ["_neg"], num_slices=num_slices,
                       max_groups=max_groups if groups else 1)
     contrib = F.col("_pos") * (F.col("cum__neg") - F.col("_neg") + F.col("_neg") / 2.0)
@@ -73,10 +79,28 @@ def roc_auc(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (
 def evaluate(df: DataFrame, label: str, prediction: str, score: str | None = None,
              group_cols: Sequence[str] = (), digits: int | None = 4) -> DataFrame:
     """The metric record (7 confusion metrics, plus ``auc_roc`` when a score is given)."""
-    m = metrics_from_counts(confusion_counts(df, label, prediction, group_cols), group_cols, digits)
     if score is None:
-        return m
-    auc = roc_auc(df, label, score, group_cols)
+        return metrics_from_counts(confusion_counts(df, label, prediction, group_cols), group_cols, digits)
+    # One scan: (group, score, prediction) → positives / negatives, materialised
+    # once; the confusion counts and the AUC are both sums over this table.
+    from quire.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    y, p = quote(label), quote(prediction)
+    compact = (df.groupBy(*[quote(g) for g in group_cols], quote(score).cast("double").alias("_s"),
+                          p.alias("_pred"))
+               .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
+               .checkpoint(eager=True))
+    pred1, pred0 = F.col("_pred") == 1, F.col("_pred") == 0
+    counts = compact.groupBy(*[quote(g) for g in group_cols]).agg(
+        F.sum(F.when(pred0, F.col("_neg")).otherwise(0)).alias("tn"),
+        F.sum(F.when(pred1, F.col("_neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(pred0, F.col("_pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(pred1, F.col("_pos")).otherwise(0)).alias("tp"))
+    m = metrics_from_counts(counts, group_cols, digits)
+    by_score = (compact.where(F.col("_s").isNotNull())
+                .groupBy(*[quote(g) for g in group_cols], "_s")
+                .agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")))
+    auc = auc_from_score_counts(by_score, group_cols)
     auc = auc.select(*group_cols, _r(F.col("auc_roc"), digits).alias("auc_roc"))
     if not group_cols:
         return _single_row_join(m, auc)
