@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.coders import NO_PATTERN
-from quire.functions.numeric import row_sum_min_count
 from quire.operators.assemble import assemble
 from quire.operators.dedupe import first_per_key
 from quire.operators.hellinger import hellinger_scores, histogram_bin
