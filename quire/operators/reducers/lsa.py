@@ -18,6 +18,9 @@ from quire.operators.linalg import randomized_svd_long
 from quire.operators.text import term_counts, vocabulary
 
 
+VOCAB_LIMIT = 1_000_000
+
+
 @dataclass
 class LSAModel:
     key: str
@@ -68,7 +71,12 @@ class LSAReducer:
     def fit(self, df: DataFrame, key: str, text: str) -> LSAModel:
         tc = term_counts(df, key, text)
         n_docs = df.select(quote(key)).where(quote(key).isNotNull()).distinct().count()
-        vocab = vocabulary(tc, key, self.min_df, self.max_features).collect()  # ≤ max_features rows
+        vdf = vocabulary(tc, key, self.min_df, self.max_features)
+        if self.max_features is None or self.max_features > VOCAB_LIMIT:
+            size = vdf.count()   # the loadings (terms × k) live on the driver: check the size first
+            if size > VOCAB_LIMIT:
+                raise ValueError(f"vocabulary of {size} terms exceeds {VOCAB_LIMIT}; set max_features")
+        vocab = vdf.collect()  # bounded by max_features / VOCAB_LIMIT
         terms = sorted(r["term"] for r in vocab)
         idf = {r["term"]: float(np.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0) for r in vocab}
         model = LSAModel(key, text, idf, np.zeros((len(terms), 0)), np.zeros(0), terms, self.prefix)
