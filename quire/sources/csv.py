@@ -62,7 +62,9 @@ def read_keyed_csv(spark: SparkSession, path: str, key_header: str = "Project ke
     raw = (spark.read.option("header", "false").option("multiLine", "true")
            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
     raw = raw.withColumn(ORDER_COL, F.monotonically_increasing_id())
-    header_row = raw.orderBy(ORDER_COL).first()
+    # a multi-line CSV file is one split, so its first record (the header) has order id 0;
+    # a filter finds it without sorting the table
+    header_row = raw.where(F.col(ORDER_COL) == 0).first()
     if header_row is None:
         return None
     header = [header_row[c] for c in raw.columns if c != ORDER_COL]
