@@ -86,32 +86,31 @@ def read_keyed_csv(spark: SparkSession, path: str, key_header: str = "Project ke
 
 
 def csv_inventory(spark: SparkSession, roots: list[str], pattern: str = "*.csv") -> DataFrame:
-    """One row per distinct CSV file: file name, n_rows (records), n_cols (header width).
+    """One row per distinct CSV file: file name, path, n_rows (records), n_cols (header width).
 
-    Files are listed with ``binaryFile`` metadata (no content) and records are
-    counted by a distributed CSV scan grouped by ``input_file_name``.
+    Files under several roots are listed (``binaryFile`` metadata, no content)
+    and de-duplicated by resolved path. Header widths come from one text scan
+    (first line of each file, fields counted outside quotes); record counts
+    from one CSV parse grouped by ``input_file_name``. No per-file job.
     """
-    paths = []
-    for root in roots:
-        if path_exists(spark, root):
-            paths.append(root.rstrip("/") + "/" + pattern)
     schema = "file string, path string, n_rows bigint, n_cols int"
-    if not paths:
+    globs = [root.rstrip("/") + "/" + pattern for root in roots if path_exists(spark, root)]
+    if not globs:
         return spark.createDataFrame([], schema)
-    listing = (spark.read.format("binaryFile").load(paths).select("path")
-               .withColumn("path", F.col("path")))
+    listing = spark.read.format("binaryFile").load(globs).select("path")
     # the listing is file metadata (one row per file), not table data
     files = sorted({os.path.realpath(re.sub(r"^file:/+", "/", r["path"])) for r in listing.collect()})
-    rows = []
-    for p in files:
-        df = (spark.read.option("header", "true").option("multiLine", "true")
-              .option("escape", '"').csv(p))
-        rows.append((os.path.basename(p), p, None, len(df.columns)))
-    meta = spark.createDataFrame(rows, schema)
-    counts = (spark.read.option("header", "true").option("multiLine", "true")
-              .option("escape", '"').csv(files)
-              .groupBy(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"))
-              .agg(F.count(F.lit(1)).alias("n_rows")))
-    return (meta.drop("n_rows").join(counts, "path", "left")
-            .select("file", "path", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
-                    "n_cols"))
+    if not files:
+        return spark.createDataFrame([], schema)
+    norm = F.regexp_replace(F.input_file_name(), "^file:/+", "/")
+    lines = spark.read.text(files).select(norm.alias("path"), F.monotonically_increasing_id().alias("_o"),
+                                           F.col("value"))
+    first = lines.groupBy("path").agg(F.min(F.struct("_o", "value")).alias("_h"))
+    outside_quotes = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    widths = first.select("path", F.size(F.split(F.col("_h.value"), outside_quotes)).alias("n_cols"))
+    counts = (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+              .csv(files).groupBy(norm.alias("path")).agg(F.count(F.lit(1)).alias("n_rows")))
+    return (widths.join(counts, "path", "left")
+            .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "path",
+                    F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
+                    F.col("n_cols").cast("int").alias("n_cols")))
