@@ -103,15 +103,12 @@ def evaluate(df: DataFrame, label: str, prediction: str, score: str | None = Non
     auc = auc_from_score_counts(by_score, group_cols)
     auc = auc.select(*group_cols, _r(F.col("auc_roc"), digits).alias("auc_roc"))
     if not group_cols:
-        return _single_row_join(m, auc)
+        # one number: attach it as a literal rather than joining two one-row frames
+        value = auc.first()["auc_roc"]
+        return m.withColumn("auc_roc", F.lit(value).cast("double"))
     return m.join(auc, list(group_cols), "left")
 
 
-def _single_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Attach the single row of ``b`` to the single row of ``a`` via a constant key."""
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-
-
 def classification_report(df: DataFrame, label: str, prediction: str,
                           class_names: dict[int, str] | None = None,
                           group_cols: Sequence[str] = (), digits: int | None = None) -> DataFrame:

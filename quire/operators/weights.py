@@ -1,7 +1,7 @@
 """Class weights for imbalanced labels."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
@@ -10,10 +10,10 @@ from quire.functions.columns import quote
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, weight) with weight = n / (k · n_c), k = number of classes present."""
     c = df.groupBy(quote(label).alias(label)).agg(F.count(F.lit(1)).alias("n"))
-    tot = c.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
-    # one row per class × the one-row totals: joined on a constant key
-    j = c.withColumn("_k", F.lit(1)).join(tot.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return j.select(label, (F.col("total").cast("double") / (F.col("k") * F.col("n"))).alias("weight"))
+    everything = Window.partitionBy()          # one row per class: a global window is tiny
+    total = F.sum("n").over(everything)
+    k = F.count(F.lit(1)).over(everything)
+    return c.select(label, (total.cast("double") / (k * F.col("n"))).alias("weight"))
 
 
 def class_weight_ratio(df: DataFrame, label: str, negative=0, positive=1) -> DataFrame:
