@@ -55,11 +55,18 @@ def pandas_style_names(header: list[str | None]) -> list[str]:
 
 
 def read_keyed_csv(spark: SparkSession, path: str, key_header: str = "Project key",
-                   key: str = "project_key", dedupe: bool = True) -> DataFrame | None:
-    """Scan one CSV table keyed by ``key_header``; ``None`` when the file is absent."""
+                   key: str = "project_key", dedupe: bool = True,
+                   multi_line: bool = True) -> DataFrame | None:
+    """Scan one CSV table keyed by ``key_header``; ``None`` when the file is absent.
+
+    ``multi_line`` allows quoted newlines but makes the file one split; for
+    large exports without embedded newlines pass ``False`` (the file is then
+    split across tasks; its first split still starts with the header), or
+    convert the export to Parquet once and extract from that DataFrame.
+    """
     if not path_exists(spark, path):
         return None
-    raw = (spark.read.option("header", "false").option("multiLine", "true")
+    raw = (spark.read.option("header", "false").option("multiLine", str(multi_line).lower())
            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
     raw = raw.withColumn(ORDER_COL, F.monotonically_increasing_id())
     # a multi-line CSV file is one split, so its first record (the header) has order id 0;
