@@ -105,3 +105,17 @@ def test_bracketed_medians(spark):
         assert small[c] == got[c] or (small[c] is None and got[c] is None), c
         exp = pdf[c].median()
         assert (got[c] is None and np.isnan(exp)) or abs(got[c] - exp) < 1e-12, c
+
+
+def test_hellinger_hot_value(spark):
+    rng = np.random.default_rng(14)
+    n = 3000
+    y = (rng.random(n) < 0.05).astype(int)
+    hot = np.where(rng.random(n) < 0.7, 0.0, rng.normal(size=n))      # one value holds ~70 % of rows
+    few = np.where(rng.random(n) < 0.9, 1.0, rng.integers(0, 9, n).astype(float))
+    pdf = pd.DataFrame({"y": y, "hot": hot + y * 0.5, "few": few})
+    got = {r["feature"]: (r["h_score"], r["kind"]) for r in
+           hellinger_scores(spark.createDataFrame(pdf), ["hot", "few"], "y").collect()}
+    for c in ["hot", "few"]:
+        assert abs(got[c][0] - ref_hellinger(pdf[c], pdf["y"])) < 1e-12
+    assert got["few"][1] == "categorical" and got["hot"][1] == "numeric"

@@ -42,3 +42,16 @@ def test_assemble_modes(spark):
     assert first["a"]["x"] == 1.0 and first["b"]["x"] is None   # second table adds no column
     co = {r["k"]: r for r in assemble(cohort, [t1, t2], "k", on_conflict="coalesce").collect()}
     assert co["a"]["x"] == 1.0 and co["b"]["x"] == 2.0 and co["c"]["x"] is None
+
+
+def test_keyed_csv_splittable(spark, tmp_path):
+    p = tmp_path / "big.csv"
+    lines = ["Project key,Score"] + [f"k{i % 50},{i}" for i in range(2000)]
+    p.write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_keyed_csv(spark, str(p), multi_line=False)
+        rows = {r["project_key"]: r["Score"] for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 50 and rows["k0"] == "0" and rows["k49"] == "49"   # first row per key in file order
