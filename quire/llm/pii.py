@@ -34,6 +34,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text must hold for a pattern to be tried at all.
+GUARDS = {"email": "@", "ip": PATTERNS["ip"], "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 #: Two words, then a token that holds a digit or @; the words are read without being used up.
 CONTEXT = r"(?<=^|[\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 MIN_CONFIDENCE, MIN_SEEDS, ROUNDS = 0.8, 5, 3
@@ -43,8 +45,8 @@ REACH = 64
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
-def found(text: Column, pattern: str, kind: int) -> Column:
-    """All matches of a pattern as spans (kind, start, end, value)."""
+def found(text: Column, pattern: str, kind: int, guard: str) -> Column:
+    """All matches of a pattern as spans (kind, start, end, value); a text without ``guard`` has none."""
     p = F.lit(pattern)
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
@@ -56,7 +58,7 @@ def found(text: Column, pattern: str, kind: int) -> Column:
             F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), x["h"].alias("value")))).alias("out"))
 
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h"))
-    return F.when(F.size(hits) > 0, F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(guard), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(v: Column) -> Column:
@@ -82,17 +84,21 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
+def _checker(kind: str):
+    return lambda span: _valid(kind, span["value"])
+
+
 def with_base(docs: DataFrame) -> DataFrame:
     """Adds ``_p_text`` and one array of valid spans for each base kind (``_p_email``...)."""
     df = docs.withColumn("_p_text", text_or_empty("text"))
     for i, k in enumerate(KINDS):
-        df = df.withColumn(f"_p_{k}", F.filter(found(F.col("_p_text"), PATTERNS[k], i), lambda s, k=k: _valid(k, s["value"])))
+        df = df.withColumn(f"_p_{k}", F.filter(found(F.col("_p_text"), PATTERNS[k], i, GUARDS[k]), _checker(k)))
     return df
 
 
 def with_tokens(based: DataFrame) -> DataFrame:
     """Adds ``_p_tokens``: identifier-like tokens (start, end, value, pattern, known)."""
-    df = based.withColumn("_p_raw", found(F.col("_p_text"), CONTEXT, len(KINDS)))
+    df = based.withColumn("_p_raw", found(F.col("_p_text"), CONTEXT, len(KINDS), "[0-9@]"))
     df = df.withColumn("_p_base", F.concat(*[F.col(f"_p_{k}") for k in KINDS]))
 
     def token(s):
@@ -128,24 +134,24 @@ def patterns(tokens: DataFrame) -> DataFrame:
     return scored.select("pattern")
 
 
-def learn(docs: DataFrame) -> DataFrame:
-    """Patterns induced by the whole table."""
-    tokens = with_tokens(with_base(docs.select("doc_id", "text"))).select(F.explode("_p_tokens").alias("t")).select("t.*")
-    return patterns(tokens.where(F.col("known") | identifier_like(F.col("value"))))
+def identifiers(docs: DataFrame) -> DataFrame:
+    """(id, key, start, end, value, pattern, known) of every identifier-like token or seed, written once."""
+    rows = with_tokens(with_base(docs.select("doc_id", "text"))).select(
+        F.col("doc_id").alias("id"), F.xxhash64("_p_text").alias("key"), F.explode("_p_tokens").alias("t")).select("id", "key", "t.*")
+    return stable(rows.where(F.col("known") | identifier_like(F.col("value"))))
 
 
-def context_spans(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(text digest key, spans) of unseen identifiers that trusted patterns reveal; few rows."""
-    rows = with_tokens(with_base(docs.select("doc_id", "text"))).select(
-        F.xxhash64("_p_text").alias("key"), F.col("doc_id").alias("id"), F.explode("_p_tokens").alias("t"))
-    hits = rows.where(~F.col("t.known") & identifier_like(F.col("t.value"))).select("key", "id", "t.*").join(trusted, "pattern", "left_semi")
+def context_spans(tokens: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(id, key, spans) of unseen identifiers that trusted patterns reveal; few rows."""
+    hits = tokens.where(~F.col("known")).join(trusted, "pattern", "left_semi")
     return hits.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct(
         F.lit(len(KINDS)).alias("kind"), "start", "end", "value"))).alias("_p_context"))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """The rows with their base spans and ``_p_context``; only found identifiers are joined on."""
-    more = stable(context_spans(docs, learn(docs))).withColumnsRenamed({"id": "_p_id", "key": "_p_key"})
+    tokens = identifiers(docs)
+    more = stable(context_spans(tokens, patterns(tokens))).withColumnsRenamed({"id": "_p_id", "key": "_p_key"})
     based = with_base(docs)
     return based.join(more, based["doc_id"].eqNullSafe(more["_p_id"]) & (F.xxhash64("_p_text") == more["_p_key"]), "left").withColumn(
         "_p_context", F.coalesce("_p_context", F.array().cast(_SPAN)))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.sources.tables import read_table
 
-from .common import SPACE_RUN, SPACES, documents, text_or_empty
+from .common import SPACE_RUN, SPACES, documents, stable, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -67,9 +67,10 @@ def with_stats(docs: DataFrame) -> DataFrame:
     words, lines = _c("words"), _c("lines")
     span = F.size(words) - (WINDOW - 1)
     shifted = [F.slice(words, k + 1, F.greatest(span, F.lit(0))).alias(f"w{k}") for k in range(WINDOW)]
-    # Equal windows become neighbours once their (hash, position) pairs are sorted; nothing is exploded.
-    hashes = F.transform(F.arrays_zip(*shifted), lambda s, i: F.struct(F.xxhash64(s).alias("h"), i.alias("i")))
-    df = df.withColumn(_P + "order", F.when(span > 1, F.sort_array(hashes)))
+    df = df.withColumn(_P + "hash", F.transform(F.arrays_zip(*shifted), lambda s: F.xxhash64(s)))
+    # Only texts with equal windows go on: these become neighbours once (hash, position) is sorted; nothing is exploded.
+    placed = F.sort_array(F.transform(_c("hash"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn(_P + "order", F.when((span > 1) & (F.size(F.array_distinct(_c("hash"))) < span), placed))
     n = F.size(_c("order"))
     pairs = F.arrays_zip(F.slice(_c("order"), 1, n - 1).alias("a"), F.slice(_c("order"), 2, n - 1).alias("b"))
     same = F.filter(pairs, lambda p: p["a"]["h"] == p["b"]["h"])
@@ -89,7 +90,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
     }
     df = df.select("*", *[v.alias(_P + k) for k, v in counts.items()])
     failed = (_c("n_words") < 10) | (100 * _c("n_repeat_words") > 20 * _c("n_words"))
-    return df.withColumn(_P + "base_failed", failed).drop(*[_P + k for k in ("words", "lines", "order", "same", "at")])
+    return df.withColumn(_P + "base_failed", failed).drop(*[_P + k for k in ("words", "lines", "hash", "order", "same", "at")])
 
 
 def binomial_tail(n: int, k: int, p: float) -> float:
@@ -125,6 +126,8 @@ def cutoffs(docs: DataFrame, labels: DataFrame, risk=RISK, alpha=ALPHA, precisio
     """Certified cutoffs from all labelled documents."""
     truth = labels.where("quality is not null").select(F.col("doc_id").alias("_q_id"), F.col("quality").alias("_q_good")).distinct()
     held = with_stats(docs.select("doc_id", "text", F.col("lang").alias("_q_stratum")).join(truth, F.col("doc_id") == F.col("_q_id")))
+    # Written once, so that the filter below is not moved under (and does not repeat) the counting of windows.
+    held = stable(held.drop("text"))
     good = F.col("_q_good") == 1
     flags = [F.struct(F.lit(r).alias("rule"), F.lit(float(t)).alias("cutoff"), (RULES[r](_c) > t).alias("beyond"))
              for r, grid in GRID.items() for t in grid]
@@ -156,7 +159,10 @@ def judge(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
     """The documents kept, with their own columns."""
-    return with_stats(docs).where(verdict(cutoffs(docs, labels, **risk))).select(*[docs[c] for c in docs.columns])
+    keep = verdict(cutoffs(docs, labels, **risk))
+    # explode() of null drops the row; a plain filter would be moved under the counts and repeat them.
+    judged = with_stats(docs).select("*", F.explode(F.when(keep, F.array(F.lit(1)))).alias("_q_kept"))
+    return judged.select(*[docs[c] for c in docs.columns])
 
 
 def op6_quality_rules(spark, sf_dir) -> DataFrame:
