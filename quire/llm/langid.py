@@ -3,7 +3,8 @@
 Every letter has a random +1/-1 vector drawn from its code point; an n-gram's
 vector binds (multiplies) its letters' vectors, each permuted (rolled) by its
 place; a text's vector bundles (sums) its n-grams' vectors, and a language's
-prototype bundles its training texts. The language whose prototype has the largest cosine wins.
+prototype bundles its training texts. The mean prototype is taken from all vectors,
+and the language whose prototype has the largest cosine wins.
 
 Training sums n-gram counts per language over all training documents (summed in
 each task before the shuffle) and bundles them in numpy per task, so only
@@ -134,7 +135,12 @@ def identify(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[st
                 rows = np.repeat(np.arange(end - at), [len(c) for c in codes])
                 flat = np.concatenate(codes)
                 v = _bundled(letters, flat, rows, np.ones(len(flat)), end - at)
-                cos = v @ table.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                # What all languages share is taken from both sides before the cosine.
+                mean = table.mean(axis=0) if len(table) > 1 else np.zeros(DIM)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) - mean
+                own = table - mean
+                own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+                cos = v @ own.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 some = np.array([bool(t) for t in clean[at:end]])
                 best[at:end] = np.where(some, cos.argmax(axis=1), -1)
                 score[at:end] = np.where(some, np.clip(cos.max(axis=1), 0, 1), 0)
