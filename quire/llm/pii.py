@@ -104,9 +104,12 @@ def with_tokens(based: DataFrame) -> DataFrame:
     def token(s):
         left = F.substring(F.col("_p_text"), F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
         words = F.filter(F.split(ascii_lower(left), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-                        F.when(F.size(words) >= 2, F.concat_ws(" ", F.slice(words, -2, 2))).alias("pattern"),
-                        F.exists(F.col("_p_base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])).alias("known"))
+        # A seed is one instance with its whole value; only its first token has a pattern.
+        seed = F.get(F.filter("_p_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])), F.lit(0))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(seed["value"], s["value"]).alias("value"),
+                        F.when((F.size(words) >= 2) & F.coalesce(s["start"] <= seed["start"], F.lit(True)),
+                               F.concat_ws(" ", F.slice(words, -2, 2))).alias("pattern"),
+                        seed.isNotNull().alias("known"))
 
     return df.withColumn("_p_tokens", F.transform("_p_raw", token)).drop("_p_raw", "_p_base")
 
