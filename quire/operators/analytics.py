@@ -86,8 +86,8 @@ def mean_by_model(long: DataFrame, model: str = "model", metric: str = "metric",
 
 def bump_ranks(long: DataFrame, model: str = "model", metric: str = "metric",
                value: str = "value") -> DataFrame:
-    """Rank models per metric after averaging over methods."""
-    avg = mean_by_model(long, model, metric, value)
+    """Rank models per metric after averaging over methods; means equal to 9 places tie."""
+    avg = mean_by_model(long, model, metric, value).withColumn("mean_value", F.round("mean_value", 9))
     return rank_desc(avg, [metric], "mean_value")
 
 

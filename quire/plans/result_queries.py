@@ -176,7 +176,7 @@ FROM long WINDOW w AS (PARTITION BY metric)""",
         round(t.{m} - c.{m}_mean, 6) AS gap FROM test t JOIN cv c USING (method, model)"""
         for m in KEY_METRICS),
     "bump_ranks": f"""{_W},
-m AS (SELECT model, metric, avg(value) AS mean_value FROM long GROUP BY model, metric)
+m AS (SELECT model, metric, round(avg(value), 9) AS mean_value FROM long GROUP BY model, metric)
 SELECT model, metric, round(mean_value, 6) AS mean_value,
   CAST(rank() OVER (PARTITION BY metric ORDER BY mean_value DESC) AS BIGINT) AS rank FROM m""",
     "best_per_method": f"""{_W}
