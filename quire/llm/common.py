@@ -10,10 +10,6 @@ from quire.sources.tables import read_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: For str.translate: lower-cases A-Z only.
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
-#: For str.translate then str.split(" "): only the six ASCII white-space characters part words.
-SPACE_TABLE = str.maketrans({c: " " for c in SPACES})
 
 
 def ascii_lower(c: Column) -> Column:
@@ -25,9 +21,24 @@ def text_or_empty(c="text") -> Column:
     return F.coalesce(F.col(c), F.lit("")) if isinstance(c, str) else F.coalesce(c, F.lit(""))
 
 
-def words_of(text: str) -> list[str]:
-    """The runs of ``[^\\x20\\x09-\\x0D]+`` in a text."""
-    return [w for w in text.translate(SPACE_TABLE).split(" ") if w]
+def words_of(text: str | None) -> list[bytes]:
+    """The runs of ``[^\\x20\\x09-\\x0D]+`` in a text with A-Z lower-cased, as UTF-8 (null: none).
+
+    bytes.lower() acts on A-Z alone and bytes.split() parts at these six characters alone.
+    """
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def blocks(texts: list[str], chars: int):
+    """(from, to) runs of texts that hold about ``chars`` characters, whole texts only."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= chars):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

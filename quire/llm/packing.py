@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stable
+from .common import blocks, documents, stable
 
 CAPACITY = 4096
 END_ID = 1
-#: Texts encoded at a time.
-BATCH = 32
+#: Characters encoded at a time; words remembered by a task; longest word remembered.
+BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 20, 1 << 18, 64
 
 
 def tokenizer_path() -> str:
@@ -42,28 +42,52 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, task, local_rank); local_rank counts equal lengths within a task."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+class WordEncoder:
+    """Encodes whole texts word by word, remembering the ids of words.
 
-    def run(batches):
+    The tokenizer's own splitting never joins characters across a space and its
+    normaliser treats every character between spaces by itself, so the ids of a text are
+    those of its space-separated words in a row (``tests/llm`` compares with whole texts).
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        self.batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set().union(*split).difference(self.known))
+        ids = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.batch(new, add_special_tokens=False))}
+        self.known.update((w, b) for w, b in ids.items() if len(w) <= LONGEST)
+        of = (self.known if all(len(w) <= LONGEST for w in new) else {**self.known, **ids}).__getitem__
+        return [b"".join(map(of, words)) for words in split]
+
+
+def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, task, local_rank); local_rank counts equal lengths within a task."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        encoder, end = WordEncoder(path), np.array([end_id], dtype="<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), {}
         for b in batches:
             out = []
-            texts = b["text"].tolist()
-            for at in range(0, len(texts), BATCH):
-                some = encode([t or "" for t in texts[at:at + BATCH]], add_special_tokens=False)
-                for j, e in enumerate(some, at):
-                    ids = np.array([*e.ids, end_id], dtype="<u4")
-                    for k, s in enumerate(range(0, len(ids), capacity)):
-                        p = ids[s:s + capacity]
-                        r = seen[len(p)] = seen.get(len(p), -1) + 1
-                        out.append((b["doc_id"].iat[j], k, s, len(p), zlib.crc32(p.tobytes()), task, r))
+            texts = [t or "" for t in b["text"].tolist()]
+            for at, upto in blocks(texts, BLOCK_CHARS):
+                for j, raw in enumerate(encoder.encode(texts[at:upto]), at):
+                    raw += end
+                    for k, s in enumerate(range(0, len(raw) // 4, capacity)):
+                        p = raw[4 * s:4 * (s + capacity)]
+                        n = len(p) // 4
+                        r = seen[n] = seen.get(n, -1) + 1
+                        out.append((b["doc_id"].iat[j], k, s, n, zlib.crc32(p), task, r))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "local_rank"]).astype({"doc_id": b["doc_id"].dtype})
 
     return docs.select("doc_id", "text").mapInPandas(

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, documents, stable, words_of
+from .common import documents, stable, words_of
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -44,14 +44,14 @@ HIST = 4096
 
 
 def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
-    words = words_of((text or "").translate(ASCII_LOWER))
+    words = words_of(text)
     if not words:
         return 0
     total = max(1, len(words) - n + 1)
     ones = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, total, BLOCK):
-        h = np.array([digest(" ".join(words[i:i + n]).encode("utf-8", "surrogatepass"), SEED)
+        h = np.array([digest(b" ".join(words[i:i + n]), SEED)
                       for i in range(at, min(total, at + BLOCK))], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * ones > total).astype(np.uint8)

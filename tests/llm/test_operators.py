@@ -11,13 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import dedup, langid, licenses, maxent, packing, pii, quality, secrets, simhash
-from quire.llm.common import ASCII_LOWER, documents, fold_of
+from quire.llm.common import documents, fold_of, words_of
 from quire.sources.tables import read_table
 
 SF_SMALL = "/root/testdata/sf0.001"
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WS = re.compile(r"[^\x20\x09-\x0D]+")
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TEXTS = [
     None, "", "   \n", "Only one", "a b c d e f g h i j k l", "A B C d e f g h i j k l", "é" * 50, "x\x85y z\x0bq",
     "mail bob.smith@mail.example.org now, or a@b.com%x@d.com; ip 8.8.8.256 10.0.0.1 1.2.3.4.5.6.7.8",
@@ -270,6 +271,24 @@ def test_packing(request, table):
     check_layout(got, sum(k[3] * n for k, n in want.items()))
 
 
+def test_words_of():
+    for t in [*TEXTS, "A\x1cB\x1d\x85C\u3000D É\u00a0F\x0b\x0cg", "İΣ ς"]:
+        assert [w.decode() for w in words_of(t)] == WS.findall((t or "").translate(ASCII_LOWER))
+
+
+def test_word_encoder_equals_whole_texts(small):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    tok.encode_special_tokens = True
+    rng = random.Random(9)
+    signs = "aAé\u0301\u0327 \n\t\r\x0b\x0c\x1c\x85\u00a0\u3000\u2028'sS<|>İΣς1٣.-\u200d😀한글"
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(3000)]
+    texts += [r["text"] or "" for r in small.collect()] + ["<|endoftext|> don't", "x" * 5000]
+    got = packing.WordEncoder(packing.tokenizer_path()).encode(texts)
+    for t, raw in zip(texts, got):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def check_layout(got, tokens):
     bins = defaultdict(list)
     for r in got:
@@ -320,8 +339,8 @@ def test_language_id_of_odd_texts(spark, odd, empty):
 
 
 def brute_base(rows, held):
-    tok = {r["doc_id"]: maxent.tokens_of(r["text"]) for r in rows}
-    c = Counter(w for r in rows if not held(r["doc_id"]) for w in maxent.tokens_of(r["text"]))
+    tok = {r["doc_id"]: [*WS.findall(r["text"].translate(ASCII_LOWER)), ""] for r in rows}
+    c = Counter(w for r in rows if not held(r["doc_id"]) for w in tok[r["doc_id"]])
     n, v = sum(c.values()), len(c)
     return n, {i: (len(t), sum(w in c for w in t), sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) for i, t in tok.items()}
 
