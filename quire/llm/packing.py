@@ -34,7 +34,9 @@ from .common import blocks, documents, stable
 CAPACITY = 4096
 END_ID = 1
 #: Characters encoded at a time; words remembered by a task; longest word remembered.
-BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 20, 1 << 18, 64
+BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 20, 1 << 19, 64
+#: A digit is always a word piece of its own for the tokenizer; new words encoded in one text.
+MARK, TOGETHER = "0", 1024
 
 
 def tokenizer_path() -> str:
@@ -57,17 +59,30 @@ class WordEncoder:
         tok.encode_special_tokens = True
         self.batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
         self.known: dict[str, bytes] = {}
+        (self.mark_id,) = tok.encode(MARK, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        ids = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.batch(new, add_special_tokens=False))}
-        self.known.update((w, b) for w, b in ids.items() if len(w) <= LONGEST)
-        of = (self.known if all(len(w) <= LONGEST for w in new) else {**self.known, **ids}).__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        new = set().union(*split).difference(self.known)
+        alone = [w for w in new if MARK in w]
+        joined = [w for w in new if MARK not in w]
+        for w, e in zip(alone, self.batch(alone, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        # Many new words go in one text, parted by a word whose id no other word can yield.
+        parts = [joined[s:s + TOGETHER] for s in range(0, len(joined), TOGETHER)]
+        for words, e in zip(parts, self.batch([f" {MARK} ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            raw = ids.tobytes()
+            self.known.update(zip(words, map(lambda s, e: raw[s:e], [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)])))
+        of = self.known.__getitem__
+        out = [b"".join(map(of, words)) for words in split]
+        for w in [w for w in new if len(w) > LONGEST]:
+            del self.known[w]
+        return out
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
