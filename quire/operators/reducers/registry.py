@@ -25,8 +25,6 @@ def list_reducers() -> list[str]:
 
 
 def _ensure_builtins():
-    if REGISTRY.get("pca") is not None:
-        return
     from quire.operators.hellinger import HellingerSelector
     from quire.operators.reducers.catpca import CATPCAReducer
     from quire.operators.reducers.famd import FAMDReducer
@@ -83,6 +81,12 @@ class ReducerPipelineModel:
             return self.models[-1].output_dim if self.models else 0
         return sum(m.output_dim for m in self.models)
 
+    @property
+    def explained_variance_ratio(self) -> list[float]:
+        """Ratios of the first step that has them."""
+        return next((list(m.explained_variance_ratio) for m in self.models
+                     if hasattr(m, "explained_variance_ratio")), [])
+
 
 @dataclass
 class _Named:

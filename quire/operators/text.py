@@ -2,9 +2,9 @@
 
 TF-IDF follows the usual smooth-idf definition: raw term counts per document,
 idf = ln((1 + n) / (1 + df)) + 1, each document vector L2-normalised.
-Vocabulary: terms in at least ``min_df`` documents, then the ``max_features``
-most frequent in the corpus (ties by term); the vocabulary is therefore bounded
-by ``max_features`` and is broadcast under that bound. Tokens are runs of two
+Vocabulary: all terms in at least ``min_df`` documents; a caller may keep only the
+``max_features`` most frequent in the corpus (ties by term). It is joined by term
+without a hint, so its size is not limited. Tokens are runs of two
 or more Unicode letters, digits or '_', lower-cased, over the whole text.
 """
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from quire.functions.columns import quote
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-BROADCAST_VOCAB_LIMIT = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -45,7 +44,7 @@ def term_counts(df: DataFrame, key: str, text: str, ngram_max: int = 2) -> DataF
     return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(tc: DataFrame, key: str, min_df: int = 3, max_features: int | None = 5000) -> DataFrame:
+def vocabulary(tc: DataFrame, key: str, min_df: int = 3, max_features: int | None = None) -> DataFrame:
     """(term, df, corpus_tf) kept by document frequency and corpus-frequency rank."""
     v = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_tf")) \
         .where(F.col("df") >= min_df)
@@ -54,17 +53,15 @@ def vocabulary(tc: DataFrame, key: str, min_df: int = 3, max_features: int | Non
     return v
 
 
-def tfidf(df: DataFrame, key: str, text: str, min_df: int = 3, max_features: int | None = 5000,
+def tfidf(df: DataFrame, key: str, text: str, min_df: int = 3, max_features: int | None = None,
           ngram_max: int = 2) -> DataFrame:
     """(key, term, tfidf) — sparse long form of the L2-normalised TF-IDF matrix."""
     tc = term_counts(df, key, text, ngram_max)
     n_docs = df.select(quote(key)).where(quote(key).isNotNull()).distinct().count()
     vocab = vocabulary(tc, key, min_df, max_features)
     idf = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    if max_features is not None and max_features <= BROADCAST_VOCAB_LIMIT:
-        idf = F.broadcast(idf)
     w = tc.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    # per-document L2 norm as a window: a document holds at most max_features terms
+    # per-document L2 norm as a window over the document's own terms
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("raw") / norm).alias("tfidf"))
 

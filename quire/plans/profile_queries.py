@@ -151,13 +151,13 @@ def q_row_documents(spark, sf_dir):
 def q_term_document_frequency(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     tc = term_counts(d, "doc_id", "text", 2)
-    return vocabulary(tc, "doc_id", min_df=3, max_features=5000).select(
+    return vocabulary(tc, "doc_id", min_df=3).select(
         "term", "df", "corpus_tf")
 
 
 def q_tfidf(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    t = tfidf(d, "doc_id", "text", min_df=3, max_features=5000)
+    t = tfidf(d, "doc_id", "text", min_df=3)
     return t.select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
@@ -242,8 +242,7 @@ grams AS (
       THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM toks),
 tc AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY doc_id, term),
 vocab AS (
-  SELECT term, count(*) AS df, sum(tf) AS corpus_tf FROM tc GROUP BY term HAVING count(*) >= 3
-  ORDER BY corpus_tf DESC, term LIMIT 5000)"""
+  SELECT term, count(*) AS df, sum(tf) AS corpus_tf FROM tc GROUP BY term HAVING count(*) >= 3)"""
 
 
 SQL = {

@@ -108,5 +108,6 @@ def test_mca_and_pipelines(spark):
     m = pipe.fit(df2, ["a", "b", "c", "d"], "y")
     cols = m.transform(df2, keep=["k"]).columns
     assert cols[:3] == ["k", "pc_01", "pc_02"] and len(cols) == len(set(cols))
+    assert m.explained_variance_ratio == list(m.models[0].explained_variance_ratio) and sum(m.explained_variance_ratio) > 0
     seq = build_pipeline("famd_hellinger").fit(df2, ["a", "b", "c", "d", "o1", "o2"], "y")
     assert seq.output_dim <= 50
