@@ -366,6 +366,73 @@ def test_license_rules():
     assert name("\n".join(reversed(bsd.split("\n")))) == []
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD_TEXT = """# Copyright (c) 2019, Some One. All rights reserved.
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice, this
+#    list of conditions and the following disclaimer.
+# (2) Redistributions in binary form must reproduce the above copyright notice,
+#    this list of conditions and the following disclaimer in the documentation
+#    and/or other materials provided with the distribution.
+"""
+BSD_3 = """# 3. Neither the name of the copyright holder nor the names of its
+#    contributors may be used to endorse or promote products derived from
+#    this software without specific prior written permission."""
+GPL_TEXT = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU %sGeneral Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+
+
+@pytest.mark.parametrize("text, want", [
+    (MIT_TEXT, ["MIT"]), (BSD_TEXT, ["BSD-2-Clause"]), (BSD_TEXT + BSD_3, ["BSD-3-Clause"]),
+    (GPL_TEXT % "", ["GPL-3.0"]), (GPL_TEXT % "Affero ", ["AGPL-3.0"]), (GPL_TEXT % "Lesser ", ["LGPL-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+    ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("Licensed under the GNU GPL v2 or later.", ["GPL-2.0"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational Licence.", ["CC-BY-SA-4.0"]),
+    ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]), ("# SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause", ["BSD-3-Clause", "GPL-2.0"]),
+    ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy */", ["MPL-2.0"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", ["ISC"]),
+    ("## License\n\nMIT", ["MIT"]), ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+    ("The MIT campus. We went to MIT.\nMIT\nA general public license is a text.", []),
+])
+def test_license_texts(text, want):
+    assert sorted({x[2] for x in licenses.match(licenses.sentences(text))}) == want
+
+
+def test_license_sentences_all_match():
+    for i, forms in licenses.SENTENCES.items():
+        for f in forms:
+            assert [x[2] for x in licenses.sentences(f"Some words here.\n{f}.\nMore words.")] == [None, i, None], f
+
+
+def test_license_lines_of_documents(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    stated = docs.where(F.col("text").rlike(r"(?i)licensed under|released under|all rights reserved|spdx-license"))
+    assert stated.count() > 0
+    assert licenses.scan(stated).where("licenses = ''").count() == 0
+
+
 def test_sentencepiece_equals_library(small):
     import sentencepiece
     from quire.llm import sentencepiece_fst as S
