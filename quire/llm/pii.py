@@ -2,12 +2,14 @@
 
 Base kinds (email, ip, card, phone) are found in every whole text by pattern
 and validity check; these spans are always returned and serve as seeds. The
-bootstrapping step looks at all identifier-like tokens (holding a digit or @)
-together with the two words before them. Patterns are those word pairs, instances
-are the tokens; their graph is one row per (pattern, instance) with a count.
+bootstrapping step looks at all identifier-like tokens (holding a digit or @; numbers
+written in groups are one token) together with the two words before them. Patterns are
+those word pairs, instances are the tokens; their graph is one row per (pattern, instance) with a count.
 Rounds alternate: a pattern's confidence is the smoothed share of its occurrences whose
-instance is known; an instance's confidence is the best of its patterns'. Patterns with
-``MIN_CONFIDENCE`` and ``MIN_SEEDS`` distinct known instances then reveal unseen
+instance is known, weighted by the instances' confidence; a seed's is 1, another instance's the best of
+its trusted patterns'. Patterns with ``MIN_CONFIDENCE`` and ``MIN_SEEDS`` distinct known
+instances, seeds or revealed by patterns trusted earlier, become trusted and keep the confidence
+of that round; rounds end when no pattern is added. Trusted patterns reveal unseen
 identifiers wherever they occur, as spans of kind ``context``.
 
 Offsets count code points, ends are exclusive. A match's place is the sum of
@@ -36,12 +38,11 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried at all.
 GUARDS = {"email": "@", "ip": PATTERNS["ip"], "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Two words, then a token that holds a digit or @; the words are read without being used up.
-CONTEXT = r"(?<=^|[\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-MIN_CONFIDENCE, MIN_SEEDS, ROUNDS = 0.8, 5, 3
-MIN_DIGITS = 4
-#: Characters looked at before a token for its two words.
-REACH = 64
+#: A number written in groups that single spaces part, or a token that holds a digit or @.
+CONTEXT = (r"(?<=^|[\x20\x09-\x0D])(?:[+(]{0,2}[0-9]++(?:-[0-9]++)*+\)?"
+           r"(?:\x20\(?[0-9]++(?:-[0-9]++)*+\)?(?=$|[\x20\x09-\x0D]|[.,;:!?](?:$|[\x20\x09-\x0D])))++"
+           r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)")
+MIN_CONFIDENCE, MIN_SEEDS = 0.8, 5
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -96,28 +97,41 @@ def with_base(docs: DataFrame) -> DataFrame:
     return df
 
 
+def in_context(text: Column) -> Column:
+    """All identifier-like tokens as spans with ``words``: the two before (lower case, one space; starts with a space if fewer)."""
+    gaps, hits = F.split(ascii_lower(text), CONTEXT, -1), F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(0))
+    kind = "array<struct<start:int,end:int,value:string,words:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(acc, x):
+        at = acc["at"] + F.length(x["g"])
+        end = at + F.length(x["h"])
+        last = F.get(acc["out"], F.size(acc["out"]) - 1)
+        # Between two tokens stand few words: with the last token and its words, two are always there.
+        before = F.concat(F.coalesce(F.concat(last["words"], F.lit(" "), ascii_lower(last["value"])), F.lit("")), x["g"])
+        words = F.concat(F.array(F.lit(""), F.lit("")), F.filter(F.split(before, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
+            at.alias("start"), end.alias("end"), x["h"].alias("value"), F.array_join(F.slice(words, -2, 2), " ").alias("words")))).alias("out"))
+
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h"))
+    return F.when(text.rlike("[0-9@]"), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+
+
 def with_tokens(based: DataFrame) -> DataFrame:
     """Adds ``_p_tokens``: identifier-like tokens (start, end, value, pattern, known)."""
-    df = based.withColumn("_p_raw", found(F.col("_p_text"), CONTEXT, len(KINDS), "[0-9@]"))
+    df = based.withColumn("_p_raw", in_context(F.col("_p_text")))
     df = df.withColumn("_p_base", F.concat(*[F.col(f"_p_{k}") for k in KINDS]))
 
     def token(s):
-        left = F.substring(F.col("_p_text"), F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
-        words = F.filter(F.split(ascii_lower(left), r"[\x20\x09-\x0D]+"), lambda w: w != "")
         # A seed is one instance with its whole value; only its first token has a pattern.
         seed = F.get(F.filter("_p_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])), F.lit(0))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(seed["value"], s["value"]).alias("value"),
-                        F.when((F.size(words) >= 2) & F.coalesce(s["start"] <= seed["start"], F.lit(True)),
-                               F.concat_ws(" ", F.slice(words, -2, 2))).alias("pattern"),
+                        F.when(~F.startswith(s["words"], F.lit(" ")) & F.coalesce(s["start"] <= seed["start"], F.lit(True)), s["words"]).alias("pattern"),
                         seed.isNotNull().alias("known"))
 
     return df.withColumn("_p_tokens", F.transform("_p_raw", token)).drop("_p_raw", "_p_base")
 
 
-def identifier_like(v: Column) -> Column:
-    return F.length(_digits(v)) >= MIN_DIGITS
-
-
 def patterns(tokens: DataFrame) -> DataFrame:
     """Trusted patterns (pattern), from all (pattern, value, known) rows."""
     graph = stable(tokens.where("pattern is not null").groupBy("pattern", "value").agg(
@@ -125,23 +139,26 @@ def patterns(tokens: DataFrame) -> DataFrame:
     # An instance seen as a seed anywhere is a seed everywhere.
     seeds = graph.groupBy("value").agg(F.max("belief").alias("seed")).where("seed > 0")
     graph = stable(graph.join(seeds, "value", "left").select("pattern", "value", "n", F.coalesce("seed", F.lit(0.0)).alias("seed")))
-    scored = None
-    for _ in range(ROUNDS):
-        known = graph.withColumn("belief", F.col("seed")) if scored is None else graph.join(
-            graph.join(scored, "pattern").groupBy("value").agg(F.max("confidence").alias("lift")), "value", "left").select(
-            "pattern", "value", "n", "seed", F.greatest("seed", F.coalesce("lift", F.lit(0.0))).alias("belief"))
-        scored = stable(known.groupBy("pattern").agg(
+    trusted = None
+    while True:
+        known = graph.withColumn("belief", F.col("seed")) if trusted is None else graph.join(
+            graph.join(trusted, "pattern").groupBy("value").agg(F.max("confidence").alias("lift")), "value", "left").select(
+            "pattern", "value", "n", F.greatest("seed", F.coalesce("lift", F.lit(0.0))).alias("belief"))
+        scored = known.groupBy("pattern").agg(
             (F.sum(F.col("n") * F.col("belief")) / (F.sum("n") + 1)).alias("confidence"),
-            F.sum(F.when(F.col("seed") > 0, 1).otherwise(0)).alias("seeds"))
-            .where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)))
-    return scored.select("pattern")
+            F.count_if(F.col("belief") >= MIN_CONFIDENCE).alias("support")).where(
+            (F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SEEDS)).select("pattern", "confidence")
+        added = stable(scored if trusted is None else scored.join(trusted, "pattern", "left_anti"))
+        if added.isEmpty():
+            return (added if trusted is None else trusted).select("pattern")
+        trusted = added if trusted is None else stable(trusted.unionByName(added))
 
 
 def identifiers(docs: DataFrame) -> DataFrame:
     """(id, key, start, end, value, pattern, known) of every identifier-like token or seed, written once."""
     rows = with_tokens(with_base(docs.select("doc_id", "text"))).select(
         F.col("doc_id").alias("id"), F.xxhash64("_p_text").alias("key"), F.explode("_p_tokens").alias("t")).select("id", "key", "t.*")
-    return stable(rows.where(F.col("known") | identifier_like(F.col("value"))))
+    return stable(rows)
 
 
 def context_spans(tokens: DataFrame, trusted: DataFrame) -> DataFrame:

@@ -228,6 +228,28 @@ def test_pii_contexts_reveal_unseen(spark):
     assert got[100] == "context:21:32" and got[101] == ""
 
 
+def test_pii_contexts_reveal_every_form(spark):
+    long = "x" * 70
+    rows = [(i, f"lorem contact number +1 555 010 {1000 + i} ipsum") for i in range(40)]
+    rows += [(50 + i, f"write {long} to u{i}@mail.example.org now") for i in range(30)]
+    unseen = {100: ("dolor contact number @bob sit", "@bob"), 101: ("a contact number 555 010 1234 b", "555 010 1234"),
+              102: ("a contact number 123 b", "123"), 103: (f"write {long} to alice@localhost now", "alice@localhost"),
+              104: ("my 7 contact number 123 45 6789. b", "123 45 6789")}
+    rows += [(i, t) for i, (t, _) in unseen.items()]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (t, v) in unseen.items():
+        assert got[i] == f"context:{t.index(v)}:{t.index(v) + len(v)}", t
+
+
+def test_pii_revealed_instances_support_patterns(spark):
+    rows = [(i, f"lorem contact number +1 555 010 {1000 + i} ipsum") for i in range(200)]
+    names = [f"@name{chr(97 + i)}" for i in range(12)]
+    rows += [(300 + i, f"lorem contact number {n} ipsum") for i, n in enumerate(names)]
+    rows += [(400 + i, f"my handle is {n} ipsum") for i, n in enumerate(names)] + [(500, "my handle is @zed ipsum"), (501, "other words go @zed ipsum")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[300] == "context:21:27" and got[400] == "context:13:19" and got[500] == "context:13:17" and got[501] == ""
+
+
 def brute_secrets(text):
     kinds = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 6),
              ("access", r"AKIA[A-Z0-9]+", 0, 0, 20), ("hex", r"[0-9a-f]+", 0, 0, 24)]
