@@ -8,7 +8,7 @@ by the schema width, not the row count. Used for p up to ``GRAM_MAX_COLS``.
 
 ``randomized_svd_long``: truncated SVD of a sparse matrix held in long form
 (row, col, value) by randomized subspace iteration. Every product is a join of
-the long table with a broadcast (col × k) or a (row × k) frame followed by a
+the long table with a (col × k) or a (row × k) frame followed by a
 group-by sum, so no pairs of entries are ever formed.
 
 ``project``: scores = ((x − centre) / scale) · W as native arithmetic.
@@ -109,59 +109,57 @@ def project(exprs: Sequence[Column], weights: np.ndarray, names: Sequence[str],
 
 
 def _matmul_long(long: DataFrame, row: str, col: str, val: str, right: DataFrame, on: str,
-                 group: str, k: int, broadcast_right: bool) -> DataFrame:
+                 group: str, k: int) -> DataFrame:
     """Σ over ``on`` of long.val · right.f_j grouped by ``group`` → (group, f_0 … f_{k-1})."""
-    r = F.broadcast(right) if broadcast_right else right
-    j = long.join(r, on)
+    j = long.join(right, on)
     return j.groupBy(group).agg(*[F.sum(F.col(val) * F.col(f"f{i}")).alias(f"f{i}") for i in range(k)])
 
 
-def _to_matrix(df: DataFrame, key: str, k: int, index: dict) -> np.ndarray:
-    m = np.zeros((len(index), k))
-    for r in df.collect():
-        m[index[r[key]]] = [r[f"f{i}"] for i in range(k)]
-    return m
+def randomized_svd_long(long: DataFrame, row: str, col: str, val: str, k: int, n_oversample: int = 10,
+                        n_iter: int = 4, seed: int = 42) -> tuple[np.ndarray, DataFrame]:
+    """Top-k singular values and right singular vectors (col, f0…) of a long-form matrix.
 
-
-def randomized_svd_long(long: DataFrame, row: str, col: str, val: str, cols_index: dict,
-                        k: int, n_oversample: int = 10, n_iter: int = 4, seed: int = 42,
-                        checkpoint: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Top-k singular values and right singular vectors (|cols| × k) of a long-form matrix.
-
-    ``cols_index`` maps every column id to 0…p−1 (a vocabulary, bounded). Only
-    (col × l) matrices (l = k + oversampling) travel to the driver; the
-    (row × l) iterates stay distributed and are checkpointed each round so the
-    lineage does not grow with the number of iterations.
+    Both factors, (row × l) and (col × l) with l = k + oversampling, stay distributed:
+    each product is a join by id and a grouped sum, checkpointed so that the lineage does
+    not grow. Only l × l Gram matrices reach the driver. The start is standard normal
+    by column id (hashed), the same for any partitioning.
     """
-    spark = long.sparkSession
-    p = len(cols_index)
-    l_dim = min(k + n_oversample, p)
-    rng = np.random.default_rng(seed)
-    omega = rng.standard_normal((p, l_dim))
-    ids = sorted(cols_index, key=cols_index.get)
-
-    def col_frame(mat):
-        rows = [(c, *[float(x) for x in mat[cols_index[c]]]) for c in ids]
-        schema = f"{col} {long.schema[col].dataType.simpleString()}, " + \
-            ", ".join(f"f{i} double" for i in range(mat.shape[1]))
-        return spark.createDataFrame(rows, schema)
-
-    def a_times(mat):  # (row × l) = A · mat
-        y = _matmul_long(long, row, col, val, col_frame(mat), col, row, mat.shape[1], True)
-        return y.checkpoint() if checkpoint else y.cache()
-
-    def at_times(y):   # (col × l) = Aᵀ · y ; y is a (row, f…) frame
-        z = _matmul_long(long, row, col, val, y, row, col, l_dim, False)
-        return _to_matrix(z, col, l_dim, cols_index)
-
-    q = omega
+    l_dim = k + n_oversample
+
+    def uniform(j):
+        return (F.pmod(F.xxhash64(F.col(col), F.lit(j), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    def times(q, r):  # (id, f…) · r
+        out = [sum((F.col(f"f{i}") * float(r[i, j]) for i in range(r.shape[0])), F.lit(0.0)).alias(f"f{j}") for j in range(r.shape[1])]
+        return q.select(col, *out)
+
+    def gram_of(z, dims):
+        _, _, g = gram_stats(z, [F.col(f"f{i}") for i in range(dims)])
+        return sym_eig_desc(g)
+
+    def orthonormal(z, dims):
+        for _ in range(2):  # the second pass removes what rounding left in the first
+            w, u = gram_of(z, dims)
+            keep = w > max(float(w[0]), 0.0) * 1e-14
+            z = times(z, u[:, keep] / np.sqrt(w[keep])).checkpoint()
+            dims = int(keep.sum())
+        return z, dims
+
+    normal = [(F.sqrt(-2.0 * F.log(uniform(2 * j))) * F.cos(2 * np.pi * uniform(2 * j + 1))).alias(f"f{j}") for j in range(l_dim)]
+    q = long.select(col).distinct().select(col, *normal)
+    dims = l_dim
     for _ in range(n_iter):
-        y = a_times(q)
-        z = at_times(y)             # Aᵀ A q
-        q, _ = np.linalg.qr(z)      # re-orthonormalise in column space
-    y = a_times(q)
+        y = _matmul_long(long, row, col, val, q, col, row, dims).checkpoint()
+        z = _matmul_long(long, row, col, val, y, row, col, dims).checkpoint()   # Aᵀ A q
+        q, dims = orthonormal(z, dims)
+        if not dims:
+            return np.zeros(0), q
+    y = _matmul_long(long, row, col, val, q, col, row, dims).checkpoint()
     # (A q)ᵀ (A q) = qᵀ AᵀA q: the small eigenproblem, from one Gram pass over y
-    _, _, gram = gram_stats(y, [F.col(f"f{i}") for i in range(l_dim)])
-    w, u = sym_eig_desc(gram)
-    v = fix_signs(q @ u)[:, :k]
-    return np.sqrt(w[:k]), v
+    w, u = gram_of(y, dims)
+    v = times(q, u[:, :k]).checkpoint()
+    k = min(k, dims)
+    # the entry of largest size of each vector is positive
+    peak = v.agg(*[F.max_by(f"f{j}", F.struct(F.abs(f"f{j}"), F.col(col))) for j in range(k)]).first()
+    signs = [F.col(f"f{j}") * (-1.0 if (peak[j] or 0.0) < 0 else 1.0) for j in range(k)]
+    return np.sqrt(np.maximum(w[:k], 0.0)), v.select(col, *[c.alias(f"f{j}") for j, c in enumerate(signs)])

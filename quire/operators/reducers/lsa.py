@@ -2,8 +2,8 @@
 
 The TF-IDF matrix stays in long form (document, term, weight); the SVD is a
 randomized subspace iteration over it (``randomized_svd_long``), and document
-coordinates are one more join with the broadcast (term × k) loadings. The
-vocabulary (≤ ``max_features`` terms) and idf weights are the fitted state.
+coordinates are one more join with the (term × k) loadings. The fitted state, idf
+weights and loadings, is one table by term: no size is assumed for the vocabulary.
 """
 from __future__ import annotations
 
@@ -16,50 +16,54 @@ from pyspark.sql import functions as F
 from quire.functions.columns import quote
 from quire.operators.linalg import randomized_svd_long
 from quire.operators.text import term_counts, vocabulary
-
-
-VOCAB_LIMIT = 1_000_000
+from quire.session import ensure_checkpoint_dir
 
 
 @dataclass
 class LSAModel:
     key: str
     text: str
-    idf: dict
-    loadings: np.ndarray
+    idf: DataFrame                       # (term, idf)
+    factor: DataFrame | None             # (term, f0…)
     singular_values: np.ndarray
-    terms: list
     prefix: str = "lsa"
 
     @property
     def names(self):
-        return [f"{self.prefix}_{i + 1:02d}" for i in range(self.loadings.shape[1])]
+        return [f"{self.prefix}_{i + 1:02d}" for i in range(self.output_dim)]
 
     @property
     def output_dim(self) -> int:
-        return self.loadings.shape[1]
+        return len(self.singular_values)
+
+    @property
+    def terms(self) -> list:
+        """The sorted vocabulary, collected (for inspection of small models)."""
+        return sorted(r["term"] for r in self.idf.select("term").collect())
+
+    @property
+    def loadings(self) -> np.ndarray:
+        """The (term × k) loadings in the order of ``terms``, collected (for inspection of small models)."""
+        rows = {r[0]: r[1:] for r in self.factor.collect()}
+        return np.array([rows.get(t, [0.0] * self.output_dim) for t in self.terms], dtype=float).reshape(-1, self.output_dim)
 
     def weights(self, df: DataFrame) -> DataFrame:
-        spark = df.sparkSession
         tc = term_counts(df, self.key, self.text)
-        idf = spark.createDataFrame(list(self.idf.items()), "term string, idf double")
-        w = tc.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+        w = tc.join(self.idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("raw") ** 2).over(Window.partitionBy(self.key)))
         return w.select(self.key, "term", (F.col("raw") / norm).alias("w"))
 
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
-        spark = df.sparkSession
-        rows = [(t, *[float(x) for x in self.loadings[i]]) for i, t in enumerate(self.terms)]
-        load = spark.createDataFrame(rows, "term string, " + ", ".join(f"f{j} double" for j in range(self.output_dim)))
-        w = self.weights(df)
-        scores = w.join(F.broadcast(load), "term").groupBy(self.key).agg(
-            *[F.sum(F.col("w") * F.col(f"f{j}")).alias(n) for j, n in enumerate(self.names)])
         base = df.select(quote(self.key), *[quote(k) for k in keep if k != self.key])
+        if not self.names:
+            return base
+        scores = self.weights(df).join(self.factor, "term").groupBy(self.key).agg(
+            *[F.sum(F.col("w") * F.col(f"f{j}")).alias(n) for j, n in enumerate(self.names)])
         return base.join(scores, self.key, "left").na.fill(0.0, subset=self.names)
 
 
 class LSAReducer:
-    def __init__(self, n_components: int = 20, min_df: int = 3, max_features: int = 5000,
+    def __init__(self, n_components: int = 20, min_df: int = 3, max_features: int | None = None,
                  n_iter: int = 4, seed: int = 42, prefix: str = "lsa"):
         self.n_components = n_components
         self.min_df = min_df
@@ -69,20 +73,14 @@ class LSAReducer:
         self.prefix = prefix
 
     def fit(self, df: DataFrame, key: str, text: str) -> LSAModel:
+        ensure_checkpoint_dir(df.sparkSession)
         tc = term_counts(df, key, text)
         n_docs = df.select(quote(key)).where(quote(key).isNotNull()).distinct().count()
-        vdf = vocabulary(tc, key, self.min_df, self.max_features)
-        if self.max_features is None or self.max_features > VOCAB_LIMIT:
-            size = vdf.count()   # the loadings (terms × k) live on the driver: check the size first
-            if size > VOCAB_LIMIT:
-                raise ValueError(f"vocabulary of {size} terms exceeds {VOCAB_LIMIT}; set max_features")
-        vocab = vdf.collect()  # bounded by max_features / VOCAB_LIMIT
-        terms = sorted(r["term"] for r in vocab)
-        idf = {r["term"]: float(np.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0) for r in vocab}
-        model = LSAModel(key, text, idf, np.zeros((len(terms), 0)), np.zeros(0), terms, self.prefix)
-        long = model.weights(df)
-        k = min(self.n_components, len(terms))
-        sv, v = randomized_svd_long(long, key, "term", "w", {t: i for i, t in enumerate(terms)},
-                                    k, n_iter=self.n_iter, seed=self.seed)
-        model.loadings, model.singular_values = v, sv
+        idf = vocabulary(tc, key, self.min_df, self.max_features).select(
+            "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")).checkpoint()
+        model = LSAModel(key, text, idf, None, np.zeros(0), self.prefix)
+        long = model.weights(df).checkpoint()
+        if not long.isEmpty():
+            model.singular_values, model.factor = randomized_svd_long(
+                long, key, "term", "w", self.n_components, n_iter=self.n_iter, seed=self.seed)
         return model

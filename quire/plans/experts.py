@@ -81,12 +81,12 @@ def value_tokens(df: DataFrame, cols: Sequence[str], name: str = "tokens") -> Da
 
 def text_aware_selection(train: DataFrame, test: DataFrame, key: str, label: str,
                          numeric: Sequence[str], text_cols: Sequence[str], min_df: int = 3,
-                         max_features: int = 5000, c: float = 0.1):
-    """Returns (test predictions, selected feature names)."""
+                         max_features: int | None = None, c: float = 0.1):
+    """Returns (test predictions, selected feature names); all tokens in ``min_df`` rows unless ``max_features`` is given."""
     tr = value_tokens(train, text_cols)
     te = value_tokens(test, text_cols)
     cv = CountVectorizer(inputCol="tokens", outputCol="_tf", minDF=float(min_df),
-                         vocabSize=max_features).fit(tr)
+                         vocabSize=max_features or (1 << 31) - 1).fit(tr)
     idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(cv.transform(tr))
     asm = VectorAssembler(inputCols=list(numeric) + ["_tfidf"], outputCol="_x", handleInvalid="keep")
 

@@ -60,6 +60,31 @@ def test_lsa_matches_numpy(spark):
     assert np.allclose(scores[model.names].to_numpy(), a @ model.loadings, atol=1e-9)
 
 
+def test_lsa_keeps_the_whole_vocabulary(spark):
+    # 5,600 equal frequent words and, rarest, "zz yy": a cut to 5,000 terms loses documents 8 to 10
+    many = " . ".join(f"w{i}" for i in range(2800))
+    df = spark.createDataFrame([(i, many) for i in range(8)] + [(i, "zz yy") for i in (8, 9, 10)], "id long, text string")
+    model = LSAReducer(n_components=2).fit(df, "id", "text")
+    assert model.idf.count() == 2800 + 2799 + 3
+    scores = {r["id"]: r[1:] for r in model.transform(df).collect()}
+    assert abs(scores[9][1]) > 0.99 and np.allclose(model.singular_values, [8 ** 0.5, 3 ** 0.5], rtol=1e-6)
+
+
+def test_text_aware_selection_keeps_all_tokens(spark, monkeypatch):
+    from quire.plans import experts
+    seen = []
+
+    class Vectorizer(experts.CountVectorizer):
+        def _fit(self, df):
+            seen.append(super()._fit(df))
+            return seen[-1]
+    monkeypatch.setattr(experts, "CountVectorizer", Vectorizer)
+    df = spark.range(5200 * 2).select((F.col("id")).alias("k"), (F.col("id") % 2).cast("int").alias("y"), F.rand(3).alias("a"),
+                                      F.floor(F.col("id") / 2).cast("string").alias("site"))
+    experts.text_aware_selection(df, df.limit(5), "k", "y", ["a"], ["site"], min_df=2)
+    assert len(seen[0].vocabulary) == 5200
+
+
 def _toy(spark, n=240, seed=12):
     rng = np.random.default_rng(seed)
     y = (rng.random(n) < 0.25).astype(int)
