@@ -50,13 +50,15 @@ class WordEncoder:
     The tokenizer's own splitting never joins characters across a space and its
     normaliser treats every character between spaces by itself, so the ids of a text are
     those of its space-separated words in a row (``tests/llm`` compares with whole texts).
+    Special tokens hold no space; with ``special_as_text`` their strings are split like any
+    other word, without it they become their ids, as the tokenizer does by itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        tok.encode_special_tokens = special_as_text
         self.batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
         self.known: dict[str, bytes] = {}
         (self.mark_id,) = tok.encode(MARK, add_special_tokens=False).ids
@@ -90,7 +92,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder, end = WordEncoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = WordEncoder(path, special_as_text=False), np.array([end_id], dtype="<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), {}
         for b in batches:
             out = []

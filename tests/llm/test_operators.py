@@ -311,6 +311,21 @@ def test_word_encoder_equals_whole_texts(small):
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_packing_of_special_tokens(spark):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "  ", "\n", "\t", "a", "don't", "0", "é\u0301", ".", "\u00a0", "<"]
+    texts = ["end <|endoftext|> next", "<|startoftext|>a<|endoftext|>", "0 <|endoftext|> 0", "<|endoftext|>\nx"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(2000)]
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [806, 49407, 1131]
+    got = rows_of(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert len(got) == len(texts)
+    for r in got:
+        ids = tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [1]
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), repr(texts[r["doc_id"]])
+
+
 def check_layout(got, tokens):
     bins = defaultdict(list)
     for r in got:
