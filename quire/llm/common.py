@@ -1,8 +1,13 @@
 """Expressions shared by the corpus operators."""
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.session import ensure_checkpoint_dir
 from quire.sources.tables import read_table
@@ -54,3 +59,29 @@ def stable(df: DataFrame) -> DataFrame:
 def fold_of(c: str, n: int) -> Column:
     """crc32 of an id's decimal text, modulo n (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % n
+
+
+def beside(docs: DataFrame, make: Callable, added: str, keep: Sequence[str] = ("doc_id",),
+           read: Sequence[str] = ("text",)) -> DataFrame:
+    """The ``keep`` columns of each row as they are, and beside them the columns ``added`` (DDL).
+
+    ``make()`` is called once a task; what it returns is called with one list for each ``read`` column
+    of a batch and gives a dict of the added columns. Where a row has several results (or none), the dict
+    also holds ``_row``, the batch row that each result stands for. Kept columns stay Arrow columns:
+    integer ids next to nulls never become doubles.
+    """
+    keep, read = list(keep), list(read)
+    schema = StructType([docs.schema[c] for c in keep] + StructType.fromDDL(added).fields)
+    columns = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{c}`").alias(f"_read{i}") for i, c in enumerate(read)]
+
+    def run(batches):
+        of, shape = make(), to_arrow_schema(schema)
+        for b in batches:
+            out = of(*[b.column(len(keep) + i).to_pylist() for i in range(len(read))])
+            rows = out.pop("_row", None)
+            kept = [b.column(i) if rows is None else b.column(i).take(pa.array(rows, pa.int64())) for i in range(len(keep))]
+            kept = [c.cast(f.type) for c, f in zip(kept, shape)]
+            new = [pa.array(out[f.name], f.type) for f in list(shape)[len(keep):]]
+            yield pa.RecordBatch.from_arrays([*kept, *new], schema=shape)
+
+    return docs.select(*columns).mapInArrow(run, schema)

@@ -1,7 +1,8 @@
 """Registered queries of the corpus operators and their SQL."""
 from __future__ import annotations
 
-from . import dedup, langid, licenses, maxent, packing, pii, quality, secrets, sentencepiece_fst, simhash
+from . import (dedup, langid, licenses, maxent, merkle, packing, pii, quality, ranked, secrets, sentencepiece_fst,
+               simhash, toxicity)
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,5 +15,8 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_pii": pii.op9_pii,
     "op10_lm_scoring": maxent.op10_lm_scoring,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_ranked_search": ranked.op13_ranked_search,
 }
-SQL = {"op4_exact_dedup": dedup.OP4_SQL}
+SQL = {"op4_exact_dedup": dedup.OP4_SQL, "op12_merkle_manifest": merkle.OP12_SQL, "op13_ranked_search": ranked.OP13_SQL}
