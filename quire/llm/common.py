@@ -81,7 +81,25 @@ def beside(docs: DataFrame, make: Callable, added: str, keep: Sequence[str] = ("
             rows = out.pop("_row", None)
             kept = [b.column(i) if rows is None else b.column(i).take(pa.array(rows, pa.int64())) for i in range(len(keep))]
             kept = [c.cast(f.type) for c, f in zip(kept, shape)]
-            new = [pa.array(out[f.name], f.type) for f in list(shape)[len(keep):]]
+            new = [v.cast(f.type) if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in list(shape)[len(keep):]]
             yield pa.RecordBatch.from_arrays([*kept, *new], schema=shape)
 
     return docs.select(*columns).mapInArrow(run, schema)
+
+
+#: Keys that hold more than 1 / HOT_KEYS of all rows are hot: there are fewer than this.
+HOT_KEYS = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join with a table of one row for each key that counts the key's rows in ``n``.
+
+    The few hot keys are broadcast, so their rows stay where they are; no other key can fill a task.
+    """
+    most, total = table.agg(F.max(n), F.sum(n)).first()
+    if not total or most * HOT_KEYS <= total:
+        return rows.join(table, key)
+    limit = total / HOT_KEYS
+    hot = F.broadcast(table.where(F.col(n) > limit))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(n) <= limit), key)
+    return rows.join(hot, key).unionByName(cold)

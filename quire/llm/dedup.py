@@ -6,14 +6,14 @@ rows) and packs those into 4 KB bitmaps: a Bloom filter of the possibly
 repeated hashes. Pass two probes it on the map side; only rows whose slots are
 all set are shuffled by their SHA-256, every other row passes straight through.
 
-The filter is the one broadcast table: ``bits`` is at most ``MAX_BITS``
-(128 MB) whatever the input, about 16 bits a row below that. A fuller filter lets
+The filter is broadcast, one table for each hash: ``bits`` is at most ``MAX_BITS``
+(128 MB each, 256 MB in all) whatever the input, about 16 bits a row below that. A fuller filter lets
 more rows through to the exact step; the result is the same.
 
 Defined results: null text counts as empty; empty texts are equal to each
 other; among equal texts the row with the largest ``doc_id`` stays (null ids
 last); rows that repeat both id and text are one document, each gets the same
-answer; an empty table gives an empty table; other columns are never read.
+answer, and ``drop_copies`` leaves one of them (any one, if other columns differ); an empty table gives an empty table; other columns are never read.
 """
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, stable, text_or_empty
+from .common import ascii_lower, documents, spread_join, stable, text_or_empty
 
 HASHES = 2
 MAX_BITS = 1 << 30
@@ -73,19 +73,34 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     probed = probe(rows, repeated_filter(rows, bits), bits)
     again = probed.where("maybe_repeated").select("doc_id", "text_sha256")
     groups = stable(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    settled = again.join(groups, "text_sha256").select(
+    settled = spread_join(again, groups, "text_sha256", "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     passed = probed.where(~F.col("maybe_repeated")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return passed.unionByName(settled)
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns: only dropped (id, digest) pairs are joined against."""
-    gone = stable(exact_dedup(docs).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct())
+def one_of_each(docs: DataFrame, judged: DataFrame, rows: str | None = None) -> DataFrame:
+    """The documents whose (doc_id, text_sha256) is ``kept`` in ``judged``, with their own columns; of rows that repeat both, one.
+
+    ``judged`` has a row for each document, or for several whose number is in the column ``rows``.
+    Only the pairs that go, or stay but repeat, are joined against; rows of the latter meet as one row a key and task.
+    """
+    keys = stable(judged.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.sum(rows or F.lit(1)).alias("rows"))
+                  .where("not kept or rows > 1").withColumnsRenamed({"doc_id": "_key_id", "text_sha256": "_key_sha"}))
     sha = F.sha2(ascii_lower(text_or_empty("text")).cast("binary"), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+    same = docs["doc_id"].eqNullSafe(keys["_key_id"]) & (sha == keys["_key_sha"])
+    single = docs.join(keys.select("_key_id", "_key_sha"), same, "left_anti")
+    twice = keys.where("kept")
+    if twice.isEmpty():
+        return single
+    again = docs.join(twice, same).groupBy("_key_id", "_key_sha").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("_row"))
+    return single.unionByName(again.select("_row.*"))
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """One document of each group of equal texts stays (the largest doc_id), with its own columns."""
+    return one_of_each(docs, exact_dedup(docs))
 
 
 def op4_exact_dedup(spark, sf_dir) -> DataFrame:

@@ -12,7 +12,8 @@ languages x ``DIM`` numbers reach the driver. Scoring bundles a block of texts a
 (texts x n-grams) by (n-grams x DIM) product.
 
 Defined results: null text or text without a letter is ``und`` with score 0, as is every text when
-nothing was learned; ties go to the first name; repeated rows get the same answer.
+nothing was learned; ties go to the first name; repeated rows get the same answer; an empty table
+gives no rows; ids of any type are kept, null ones too; other columns are never read.
 """
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold_of
+from .common import beside, documents, fold_of
 
 DIM, GRAM, SEED = 1024, 3, 42
 #: Characters bundled at a time; languages that prototypes may have (a bound on what is broadcast: 40 MB).
@@ -32,8 +33,13 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letters_of(text: str) -> str:
-    """Lower-cased letter runs, one space around each; empty without letters."""
+    """Lower-cased letter runs, one space around each; empty without letters.
+
+    Word characters that are neither digits nor letters (numerals such as \u00b2, \u00bd, \u2167) part runs like spaces.
+    """
     runs = LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, runs)):
+        runs = "".join(c if c.isalpha() else " " for r in runs for c in [*r, " "]).split()
     return f" {' '.join(runs)} " if runs else ""
 
 
@@ -116,14 +122,17 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
 def identify(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[str] = ()) -> DataFrame:
     """doc_id, ``keep`` columns, lang_pred, score (the cosine, at least 0)."""
     shared = docs.sparkSession.sparkContext.broadcast((names, table))
-    kept = ["doc_id", *keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
-    def run(batches):
+    def make():
         names, table = shared.value
         letters = Letters()
-        for b in batches:
-            clean = [letters_of(t) if t else "" for t in b["text"]]
+        # What all languages share is taken from both sides before the cosine.
+        mean = table.mean(axis=0) if len(table) > 1 else np.zeros(DIM)
+        own = table - mean
+        own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+
+        def run(texts):
+            clean = [letters_of(t) if t else "" for t in texts]
             best, score = np.full(len(clean), -1), np.zeros(len(clean))
             at = 0
             while names and at < len(clean):
@@ -135,22 +144,16 @@ def identify(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[st
                 rows = np.repeat(np.arange(end - at), [len(c) for c in codes])
                 flat = np.concatenate(codes)
                 v = _bundled(letters, flat, rows, np.ones(len(flat)), end - at)
-                # What all languages share is taken from both sides before the cosine.
-                mean = table.mean(axis=0) if len(table) > 1 else np.zeros(DIM)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) - mean
-                own = table - mean
-                own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
                 cos = v @ own.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 some = np.array([bool(t) for t in clean[at:end]])
                 best[at:end] = np.where(some, cos.argmax(axis=1), -1)
                 score[at:end] = np.where(some, np.clip(cos.max(axis=1), 0, 1), 0)
                 at = end
-            out = b[kept].copy()
-            out["lang_pred"] = [names[i] if i >= 0 else "und" for i in best]
-            out["score"] = score
-            yield out
+            return {"lang_pred": [names[i] if i >= 0 else "und" for i in best], "score": score}
+        return run
 
-    return docs.select(*kept, "text").mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return beside(docs, make, "lang_pred string, score double", keep=["doc_id", *keep])
 
 
 def op8_language_id(spark, sf_dir) -> DataFrame:

@@ -17,10 +17,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import beside, documents
 
 GAP = 2
 #: Identifier -> whole sentences of licence texts that stand for it.
@@ -224,19 +223,19 @@ def match(found: list[tuple[int, int, str | None]], rules=RULES, gap: int = GAP)
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_known_sentences, licenses (sorted names, comma-joined), spans (licence:start:end)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"], b["text"]):
+    def make():
+        def run(texts):
+            out: dict[str, list] = {"n_known_sentences": [], "licenses": [], "spans": []}
+            for t in texts:
                 found = sentences(t or "")
                 hits = match(found)
-                out.append((i, sum(x[2] is not None for x in found), ",".join(sorted({h[2] for h in hits})),
-                            ",".join(f"{n}:{s}:{e}" for s, e, n in hits)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_known_sentences", "licenses", "spans"]).astype({"doc_id": b["doc_id"].dtype})
+                out["n_known_sentences"].append(sum(x[2] is not None for x in found))
+                out["licenses"].append(",".join(sorted({h[2] for h in hits})))
+                out["spans"].append(",".join(f"{n}:{s}:{e}" for s, e, n in hits))
+            return out
+        return run
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_known_sentences long, licenses string, spans string")
+    return beside(docs, make, "n_known_sentences long, licenses string, spans string")
 
 
 def op7_license_scan(spark, sf_dir) -> DataFrame:

@@ -23,7 +23,8 @@ or a written table, whose rows come in the same order again; else a word without
 count stops the job.
 
 Defined results: a null or empty text is its end token alone; without training
-texts all counts are 0 and the class softmax is uniform; repeated rows get the same answer.
+texts all counts are 0 and the class softmax is uniform; repeated rows get the same answer; an empty table gives no rows;
+ids of any type are kept, null ones too; other columns are never read.
 """
 from __future__ import annotations
 
@@ -34,9 +35,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.session import ensure_checkpoint_dir
 
@@ -131,52 +135,54 @@ def train(training: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> np.n
 
 
 def _in_blocks(batches):
-    """(block, rows): the task's rows in blocks of about BLOCK_CHARS characters, numbered within the task."""
+    """(block, record batches): the task's rows in blocks of about BLOCK_CHARS characters, numbered within the task."""
     task, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
     for b in batches:
-        b = b.assign(text=b["text"].fillna(""))
-        for s, e in blocks(b["text"].tolist(), BLOCK_CHARS):
-            part = b.iloc[s:e]
-            chars = int(part["text"].str.len().sum())
+        texts = [t or "" for t in b.column("text").to_pylist()]
+        for s, e in blocks(texts, BLOCK_CHARS):
+            chars = sum(map(len, texts[s:e]))
             if held and size + chars > BLOCK_CHARS:
-                yield task | n, pd.concat(held)
+                yield task | n, held
                 n, held, size = n + 1, [], 0
-            held.append(part)
+            held.append(b.slice(s, e - s))
             size += chars
     if held:
-        yield task | n, pd.concat(held)
+        yield task | n, held
 
 
 def block_words(rows: DataFrame) -> DataFrame:
     """(block, word, n): the distinct words of each block, n of their tokens in training texts."""
     def run(batches):
-        for block, part in _in_blocks(batches):
+        for block, parts in _in_blocks(batches):
             n: Counter = Counter()
-            for t, held in zip(part["text"], part["held_out"]):
-                toks = tokens_of(t)
-                if held:
-                    for w in toks:
-                        n.setdefault(w, 0)
-                else:
-                    n.update(toks)
+            for part in parts:
+                for t, held in zip(part.column("text").to_pylist(), part.column("held_out").to_pylist()):
+                    toks = tokens_of(t)
+                    if held:
+                        for w in toks:
+                            n.setdefault(w, 0)
+                    else:
+                        n.update(toks)
             # Sorted words compress well in the written table.
             words = sorted(n)
             for s in range(0, len(words), 1 << 15):
                 some = words[s:s + (1 << 15)]
-                yield pd.DataFrame({"block": block, "word": some, "n": [n[w] for w in some]})
+                yield pa.RecordBatch.from_pydict({"block": [block] * len(some), "word": some, "n": [n[w] for w in some]},
+                                                 schema=pa.schema([("block", pa.int64()), ("word", pa.binary()), ("n", pa.int64())]))
 
-    return rows.select("held_out", "text").mapInPandas(run, "block long, word binary, n long")
+    return rows.select("held_out", "text").mapInArrow(run, "block long, word binary, n long")
 
 
 def block_texts(rows: DataFrame) -> DataFrame:
     """The rows with the block that ``block_words`` counted them in."""
     def run(batches):
-        for block, part in _in_blocks(batches):
-            for s in range(0, len(part), 256):
-                yield part.iloc[s:s + 256].assign(block=block)
+        for block, parts in _in_blocks(batches):
+            for part in parts:
+                for s in range(0, part.num_rows, 256):
+                    some = part.slice(s, 256)
+                    yield some.append_column("block", pa.array([block] * some.num_rows, pa.int64()))
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, text string, block long")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL("block long").fields]))
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
@@ -195,27 +201,27 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     log_size = np.log10([sum(totals.get(c, (0, 0))) + 1.0 for c in range(CLASSES)])
     log_all = math.log10(n_all + v_all + 1)
     shared = spark.sparkContext.broadcast((weights, log_size))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(
+        "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
     def run(texts, vocabulary):
         w, log_size = shared.value
-        logs = dict(zip(vocabulary["word"], np.log10(vocabulary["c"].to_numpy(np.float64) + 1)))
+        logs = dict(zip(vocabulary.column("word").to_pylist(), np.log10(vocabulary.column("c").to_numpy().astype(np.float64) + 1)))
         out = []
-        for i, held, t in zip(texts["doc_id"], texts["held_out"], texts["text"]):
+        for t in texts.column("text").to_pylist():
             toks = tokens_of(t)
             own = np.fromiter(map(logs.__getitem__, toks), np.float64, len(toks))
             cls, feats = features(toks)
             model = sum(float(class_logp(w, cls[s:s + MINIBATCH], feats[:, s:s + MINIBATCH]).sum(dtype=np.float64))
                         for s in range(0, len(cls), MINIBATCH)) / math.log(10)
             total = float(own.sum())
-            out.append((i, held, len(toks), int(np.count_nonzero(own)), n_all, total - len(toks) * log_all,
-                        total + model - float(log_size[cls].sum())))
-        return pd.DataFrame(out, columns=names).astype({"doc_id": texts["doc_id"].dtype})
+            out.append((len(toks), int(np.count_nonzero(own)), n_all, total - len(toks) * log_all, total + model - float(log_size[cls].sum())))
+        shape = to_arrow_schema(schema)
+        new = [pa.array([r[i] for r in out], f.type) for i, f in enumerate(list(shape)[2:])]
+        return pa.table([texts.column("doc_id").cast(shape.field(0).type), texts.column("held_out"), *new], schema=shape)
 
     known = words.select("block", "word").join(counts, "word")
-    return block_texts(rows).groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return block_texts(rows).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
 
 
 def op10_lm_scoring(spark, sf_dir) -> DataFrame:

@@ -20,10 +20,9 @@ from re import _constants as K
 from re import _parser as parser
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import beside, blocks, documents
 
 _I = re.ASCII | re.IGNORECASE
 #: Kind -> (expression, flags, group whose length is checked, least length). The first three are the base kinds.
@@ -31,11 +30,11 @@ RULES = {
     "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _I, 2, 6),
     "access": (r"AKIA[A-Z0-9]{16,}", re.ASCII, 0, 20),
     "hex": (r"[0-9a-f]{24,}", re.ASCII, 0, 24),
-    "private_key": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", re.ASCII, 0, 0),
+    "private_key": (r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=\x20\x09-\x0D:,.]|-(?!----))*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?", re.ASCII, 0, 0),
     "hub_token": (r"gh[pousr]_[A-Za-z0-9]{36,}", re.ASCII, 0, 0),
     "chat_token": (r"xox[abprs]-[A-Za-z0-9-]{10,}", re.ASCII, 0, 0),
     "web_token": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII, 0, 0),
-    "url_login": (r"://[A-Za-z0-9._-]{1,64}:[^\x20\x09-\x0D/@:]{3,64}@", re.ASCII, 0, 0),
+    "url_login": (r"://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/@:]{3,}@", re.ASCII, 0, 0),
 }
 BASE = ["assign", "access", "hex"]
 #: Characters of a segment; an Arrow batch is split at this size.
@@ -120,38 +119,28 @@ def spans_of(text: str, expr: re.Pattern, group: int, least: int) -> list[tuple[
 
 def scan(docs: DataFrame, rules: dict = RULES, base: list[str] = BASE) -> DataFrame:
     """doc_id, n_<kind> of the base kinds, base_sha256 and spans (kind:start:end by start, then rule order)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = ["doc_id", *[f"n_{k}" for k in base], "base_sha256", "spans"]
-
-    def run(batches):
+    def make():
         compiled = [(k, re.compile(p, f), g, n, trigram_query(p, f)) for k, (p, f, g, n) in rules.items()]
         wanted = np.zeros(1 << 24, dtype=bool)
         for *_, q in compiled:
             wanted[[_code(t) for t in vocabulary(q)]] = True
-        for b in batches:
-            texts = [t or "" for t in b["text"]]
+
+        def run(texts):
+            texts = [t or "" for t in texts]
             found: list[list] = [[] for _ in texts]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= SEGMENT):
-                    size += len(texts[end])
-                    end += 1
+            for at, end in blocks(texts, SEGMENT):
                 segment = Segment(texts[at:end], wanted)
                 for order, (_, expr, group, least, query) in enumerate(compiled):
                     for r in segment.find(query):
                         found[at + r] += [(s, order, e) for s, e in spans_of(texts[at + r], expr, group, least)]
-                at = end
-            names, out = list(rules), []
-            for i, spans in enumerate(found):
-                listed = [(names[o], f"{names[o]}:{s}:{e}") for s, o, e in sorted(spans)]
-                own = [x for k, x in listed if k in base]
-                out.append((b["doc_id"].iat[i], *[sum(k == n for k, _ in listed) for n in base],
-                            hashlib.sha256(",".join(own).encode()).hexdigest(), ",".join(x for _, x in listed)))
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": b["doc_id"].dtype})
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in base)}, base_sha256 string, spans string")
+            names = list(rules)
+            listed = [[(names[o], f"{names[o]}:{s}:{e}") for s, o, e in sorted(spans)] for spans in found]
+            return {**{f"n_{n}": [sum(k == n for k, _ in x) for x in listed] for n in base},
+                    "base_sha256": [hashlib.sha256(",".join(y for k, y in x if k in base).encode()).hexdigest() for x in listed],
+                    "spans": [",".join(y for _, y in x) for x in listed]}
+        return run
+
+    return beside(docs, make, f"{', '.join(f'n_{k} long' for k in base)}, base_sha256 string, spans string")
 
 
 def op1_secret_scan(spark, sf_dir) -> DataFrame:

@@ -18,7 +18,8 @@ checkpointed edge tables. Nothing that grows with the corpus reaches the driver:
 it sees 64 + 64*64 bit counts and the collision histograms of the partitions.
 
 Defined results: null text is empty; a text without words has fingerprint zero
-and is linked like any other; repeated rows share a fingerprint; an empty table
+and is linked like any other; repeated rows share a fingerprint; null ids count after all others; of rows
+that repeat id and text ``drop_near_copies`` leaves one; an empty table
 gives no rows; other columns are never read.
 """
 from __future__ import annotations
@@ -31,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stable, words_of
+from .common import ascii_lower, beside, documents, spread_join, stable, text_or_empty, words_of
+from .dedup import one_of_each
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -58,16 +60,12 @@ def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the unsigned fingerprint's two's complement long."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, keep: tuple = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and fp, the unsigned fingerprint's two's complement long."""
+    def make():
+        return lambda texts: {"fp": np.array([fingerprint(t, n) for t in texts], dtype="<u8").view("<i8")}
 
-    def run(batches):
-        for b in batches:
-            fps = np.array([fingerprint(t, n) for t in b["text"]], dtype="<u8").view("<i8")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return beside(docs, make, "fp long", keep=keep)
 
 
 def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -206,21 +204,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id (smallest doc_id of its component)."""
-    rows = stable(fingerprints(docs, n))
-    first = stable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+def _joined(rows: DataFrame, radius: int) -> DataFrame:
+    """Adds the ``root`` (a fingerprint) and ``component_id`` of their component to written rows with doc_id and fp."""
+    first = stable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("_rows")))
     linked = components(links(first.select("fp"), radius))
     named = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    where = stable(named.join(least, "root").select("fp", "component_id"))
-    return rows.join(where, "fp").select("doc_id", "fp", "component_id")
+    least = stable(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_nodes")))
+    where = stable(spread_join(named.drop("first_id"), least, "root", "_nodes").drop("_nodes"))
+    return spread_join(rows, where, "fp", "_rows").drop("_rows")
+
+
+def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row per document: doc_id, fp (long), component_id (smallest doc_id of its component)."""
+    return _joined(stable(fingerprints(docs, n)), radius).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, n: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays (the smallest doc_id), with its own columns."""
-    gone = stable(near_duplicates(docs, n, radius).where("doc_id != component_id").select(F.col("doc_id").alias("_gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """One document of each component stays (the smallest doc_id, null ids last), with its own columns."""
+    sha = F.sha2(ascii_lower(text_or_empty("text")).cast("binary"), 256)
+    rows = stable(fingerprints(docs.select("doc_id", "text", sha.alias("text_sha256")), n, ("doc_id", "text_sha256")))
+    found = stable(_joined(rows, radius).select("doc_id", "text_sha256", "root"))
+    # Texts that share an id and a component are told apart by their digest, so one (id, digest) stays.
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")).alias("s")).select(
+        F.col("s.doc_id").alias("_id"), F.col("s.text_sha256").alias("_sha"), F.lit(True).alias("_kept")).distinct()
+    keys = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_rows"))
+    judged = keys.join(stays, keys["doc_id"].eqNullSafe(stays["_id"]) & (keys["text_sha256"] == stays["_sha"]), "left")
+    return one_of_each(docs, judged.select("doc_id", "text_sha256", F.coalesce("_kept", F.lit(False)).alias("kept"), "_rows"), "_rows")
 
 
 def op2_simhash_near_dedup(spark, sf_dir) -> DataFrame:
