@@ -8,24 +8,19 @@ weights n/(2·n_c), or ``pos_weight`` on positives for the boosted presets).
 
 Where Spark has no equal, the preset is re-aimed and says so:
 ``svm`` — random Fourier features (RBF kernel approximation) + linear SVM with
-a logistic calibration of the margin; ``balanced_random_forest`` — a forest
-whose bootstrap is class-balanced in expectation (balanced weights × Poisson
-bootstrap); ``lightgbm``/``xgboost`` — gradient-boosted trees presets;
-``mlp`` — Spark's perceptron (sigmoid hidden units, no weight decay);
-``easy_ensemble`` — boosted learners on balanced under-samples, averaged.
+a logistic calibration of the margin. ``balanced_random_forest``,
+``lightgbm`` (leaf-wise), ``xgboost`` (level-wise) and ``easy_ensemble`` are the histogram learners
+of ``trees.py``, ``mlp`` the perceptron of ``mlp.py``; every parameter of their search spaces acts.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (GBTClassifier, LinearSVC,
-                                       LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
@@ -33,8 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
+from quire.operators import mlp, trees
 
 SEED = 42
+#: The deepest tree that Spark's forest can grow; a larger setting is refused.
+MAX_DEPTH = 30
 FEATURES_VEC = "_features"
 WEIGHT = "_weight"
 
@@ -97,6 +95,7 @@ class ModelSpec:
     name: str
     params: dict
     pos_weight: float | None = None
+    key: str | None = None
 
     def fit(self, train: DataFrame, features: Sequence[str], label: str) -> Fitted:
         return FITTERS[self.name](self, train, list(features), label)
@@ -182,74 +181,62 @@ def _subset_strategy(v) -> str:
     return str(float(v))
 
 
-def _fit_random_forest(spec, train, features, label, balanced_bootstrap=False):
+def _fit_random_forest(spec, train, features, label):
     p = spec.params
-    depth = p.get("max_depth")
+    depth = p.get("max_depth") or MAX_DEPTH
+    if depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {depth} is above {MAX_DEPTH}, the deepest tree of this forest")
     rf = RandomForestClassifier(
         featuresCol=FEATURES_VEC, labelCol=label, weightCol=WEIGHT,
-        numTrees=int(p.get("n_estimators", 500)), maxDepth=int(min(depth, 30)) if depth else 30,
-        minInstancesPerNode=int(p.get("min_samples_leaf", 2 if balanced_bootstrap else 3)),
+        numTrees=int(p.get("n_estimators", 500)), maxDepth=int(depth),
+        minInstancesPerNode=int(p.get("min_samples_leaf", 3)),
         featureSubsetStrategy=_subset_strategy(p.get("max_features", "sqrt")),
         bootstrap=True, seed=SEED)
     data = assemble(add_balanced_weight(train, label), features)
     return Fitted(features, [_fit_persisted(rf, data)], label)
 
 
-def _fit_gbt(spec, train, features, label, preset="lightgbm"):
-    p = spec.params
-    gbt = GBTClassifier(
-        featuresCol=FEATURES_VEC, labelCol=label, weightCol=WEIGHT,
-        maxIter=int(p.get("n_estimators", 400)), stepSize=float(p.get("learning_rate", 0.05)),
-        maxDepth=int(p.get("max_depth", 5)),
-        minInstancesPerNode=int(p.get("min_child_samples", 10) if preset == "lightgbm"
-                                else p.get("min_child_weight", 3)),
-        subsamplingRate=float(p.get("subsample", 0.8)),
-        featureSubsetStrategy=_subset_strategy(float(p.get("colsample_bytree", 0.8))),
-        seed=SEED)
-    data = assemble(add_balanced_weight(train, label, spec.pos_weight or 1.0), features)
-    return Fitted(features, [_fit_persisted(gbt, data)], label)
+def _picked(params: dict, names: Sequence[str], model: str) -> dict:
+    """The parameters of a fit; an unknown name is an error, so none is without effect."""
+    unknown = set(params) - set(names)
+    if unknown:
+        raise ValueError(f"{model} has no parameter {sorted(unknown)}")
+    return dict(params)
+
+
+def _fit_balanced_forest(spec, train, features, label):
+    return trees.fit_balanced_forest(train, features, label, spec.key, seed=SEED, **_picked(
+        spec.params, ("n_estimators", "max_depth", "min_samples_leaf", "max_features"), spec.name))
+
+
+def _fit_lightgbm(spec, train, features, label):
+    own = {"num_leaves": 31, "min_child_samples": 10, **_picked(spec.params, (
+        "n_estimators", "learning_rate", "num_leaves", "min_child_samples", "subsample", "colsample_bytree", "reg_alpha", "reg_lambda"), spec.name)}
+    return trees.fit_booster(train, features, label, spec.key, pos_weight=spec.pos_weight or 1.0, seed=SEED, **own)
+
+
+def _fit_xgboost(spec, train, features, label):
+    own = {"max_depth": 5, "min_child_weight": 3, **_picked(spec.params, (
+        "n_estimators", "learning_rate", "max_depth", "min_child_weight", "subsample", "colsample_bytree", "reg_alpha", "reg_lambda"), spec.name)}
+    return trees.fit_booster(train, features, label, spec.key, pos_weight=spec.pos_weight or 1.0, seed=SEED, **own)
 
 
 def _fit_mlp(spec, train, features, label):
-    p = spec.params
-    layers = [len(features), *list(p.get("hidden_layer_sizes", (128, 64))), 2]
-    mlp = MultilayerPerceptronClassifier(featuresCol=FEATURES_VEC, labelCol=label, layers=layers,
-                                         maxIter=int(p.get("max_iter", 500)),
-                                         stepSize=float(p.get("learning_rate_init", 1e-3)),
-                                         blockSize=int(p.get("batch_size", 64)), seed=SEED)
-    return Fitted(features, [_fit_persisted(mlp, assemble(train, features))], label)
+    return mlp.fit_perceptron(train, features, label, seed=SEED, **_picked(
+        spec.params, ("hidden_layer_sizes", "activation", "alpha", "learning_rate_init", "batch_size", "max_iter"), spec.name))
 
 
-def _fit_easy_ensemble(spec, train, features, label, parallelism: int = 4):
-    """Each bag: all positives + a hash-chosen negative subset of the same expected size."""
-    p = spec.params
-    n_bags = int(p.get("n_estimators", 30))
-    counts = {r[0]: r[1] for r in train.groupBy(quote(label)).count().collect()}
-    frac = min(1.0, counts.get(1, 0) / max(counts.get(0, 1), 1))
-    data = assemble(train, features).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one(i):
-        u = F.xxhash64(F.lit(SEED), F.lit(i), *[quote(c) for c in features])
-        keep = (quote(label) == 1) | ((F.pmod(u, F.lit(1_000_000)) / 1_000_000.0) < F.lit(frac))
-        bag = data.where(keep)
-        gbt = GBTClassifier(featuresCol=FEATURES_VEC, labelCol=label, maxIter=int(p.get("boost_rounds", 10)),
-                            maxDepth=int(p.get("max_depth", 1)), stepSize=float(p.get("learning_rate", 1.0)),
-                            seed=SEED + i)
-        return gbt.fit(bag)
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        models = list(pool.map(one, range(n_bags)))
-    data.unpersist()
-    return Fitted(features, models, label, kind="average")
+def _fit_easy_ensemble(spec, train, features, label):
+    return trees.fit_easy_ensemble(train, features, label, spec.key, seed=SEED, **_picked(spec.params, ("n_estimators", "rounds"), spec.name))
 
 
 FITTERS = {
     "logistic_regression": _fit_logistic,
     "svm": _fit_svm,
     "random_forest": _fit_random_forest,
-    "balanced_random_forest": lambda s, t, f, l: _fit_random_forest(s, t, f, l, balanced_bootstrap=True),
-    "lightgbm": lambda s, t, f, l: _fit_gbt(s, t, f, l, "lightgbm"),
-    "xgboost": lambda s, t, f, l: _fit_gbt(s, t, f, l, "xgboost"),
+    "balanced_random_forest": _fit_balanced_forest,
+    "lightgbm": _fit_lightgbm,
+    "xgboost": _fit_xgboost,
     "mlp": _fit_mlp,
     "easy_ensemble": _fit_easy_ensemble,
 }
@@ -304,15 +291,11 @@ def positive_weight(df: DataFrame, label: str) -> float:
     return float(r["n0"]) / max(float(r["n1"]), 1.0)
 
 
-def build_model(name: str, params: dict | None = None, pos_weight: float | None = None) -> ModelSpec:
+def build_model(name: str, params: dict | None = None, pos_weight: float | None = None, key: str | None = None) -> ModelSpec:
+    """A model with its parameters; ``key`` names the row key that bags are drawn by (else rows are numbered)."""
     if name not in FITTERS:
         raise ValueError(f"unknown model {name!r}; known: {MODEL_NAMES}")
-    return ModelSpec(name, dict(params or {}), pos_weight if name in ("lightgbm", "xgboost") else None)
-
-
-def build_default_models(train: DataFrame, label: str, names: Sequence[str] | None = None) -> dict:
-    spw = positive_weight(train, label)
-    return {n: build_model(n, {}, spw) for n in (names or MODEL_NAMES)}
+    return ModelSpec(name, dict(params or {}), pos_weight if name in ("lightgbm", "xgboost") else None, key)
 
 
 def l1_support(df: DataFrame, features: Sequence[str], label: str, c: float = 0.1) -> list[str]:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
 from quire.functions.numeric import numeric_double
+from quire.operators.categories import indicator, indicator_name
 from quire.operators.cumulative import running_sum
+from quire.operators.selection import medians
 
 NUMERIC_TYPES = ("double", "float", "integer", "long", "short", "byte", "decimal")
 
@@ -195,17 +197,18 @@ def column_modes(freq: DataFrame) -> DataFrame:
 
 
 def impute_most_frequent(df: DataFrame, cols: Sequence[str], modes: dict) -> DataFrame:
-    """Fill nulls with the fitted modes (a projection)."""
-    repl = {c: F.coalesce(numeric_double(quote(c)), F.lit(float(modes[c]))).alias(c)
-            for c in cols if modes.get(c) is not None}
+    """Fill nulls with the fitted modes, numbers or text (a projection)."""
+    def filled(c, mode):
+        return F.coalesce(quote(c).cast("string"), F.lit(mode)) if isinstance(mode, str) else F.coalesce(numeric_double(quote(c)), F.lit(float(mode)))
+
+    repl = {c: filled(c, modes[c]).alias(c) for c in cols if modes.get(c) is not None}
     return df.select(*[repl.get(c, quote(c)) for c in df.columns])
 
 
-def one_hot(df: DataFrame, categories: dict, drop_source: bool = True) -> DataFrame:
-    """Indicator columns ``<col>=<value>`` for the fitted category lists; unseen → all 0."""
-    extra = [(quote(c).cast("double") == F.lit(float(v))).cast("double").alias(f"{c}={v:g}")
-             for c, vals in categories.items() for v in vals]
-    keep = [quote(c) for c in df.columns if not (drop_source and c in categories)]
+def one_hot(df: DataFrame, fitted: dict, drop_source: bool = True) -> DataFrame:
+    """Indicator columns ``<col>=<value>`` for the fitted lists of values, numbers or text; an unseen value has none set."""
+    extra = [indicator(c, v).alias(indicator_name(c, v)) for c, vals in fitted.items() for v in vals]
+    keep = [quote(c) for c in df.columns if not (drop_source and c in fitted)]
     return df.select(*keep, *extra)
 
 
@@ -242,87 +245,6 @@ def low_cardinality_candidates(profile: dict[str, dict], threshold: int) -> list
     return [c for c, d in profile.items() if d["n"] > 0 and d["approx_distinct"] <= bound]
 
 
-EXACT_MEDIAN_BUDGET = 2_000_000
-
-
-def column_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000,
-                   num_slices: int | None = None, budget: int | None = None) -> dict[str, float | None]:
-    """Exact medians (mean of the two middle values for even counts).
-
-    Columns whose values fit ``EXACT_MEDIAN_BUDGET`` (summed over columns) use
-    the exact ``median`` aggregate in one job. For the others, pass 1 (one
-    wide aggregate): count and a quantile sketch per column give a
-    bracket [lo, hi] around the middle ranks (sketch rank error ≤ n/accuracy,
-    bracket ±2n/accuracy). Pass 2: each value is either kept (inside the
-    bracket) or collapsed map-side into a below/above count, so only about
-    4/accuracy of the values are shuffled; the middle ranks are then found by
-    the distributed running count. A column whose bracket misses the middle
-    falls back to the full frequency table.
-    """
-    cols = list(cols)
-    if not cols:
-        return {}
-    d = 2.0 / accuracy
-    probs = F.array(F.lit(max(0.0, 0.5 - d)), F.lit(min(1.0, 0.5 + d)))
-    aggs = []
-    for i, c in enumerate(cols):
-        v = numeric_double(quote(c))
-        aggs += [F.count(v).alias(f"n{i}"), F.percentile_approx(v, probs, accuracy).alias(f"q{i}")]
-    row = df.select(*aggs).first()
-    stats = {c: (row[f"n{i}"], row[f"q{i}"]) for i, c in enumerate(cols)}
-    live = [c for c in cols if stats[c][0]]
-    out: dict[str, float | None] = {c: None for c in cols}
-    if not live:
-        return out
-    # Checked small path: Spark's exact median keeps every value of a column in
-    # one aggregation buffer, so it is used only while the summed counts stay
-    # within a fixed budget.
-    small, budget = [], EXACT_MEDIAN_BUDGET if budget is None else budget
-    for c in live:
-        if stats[c][0] <= budget:
-            small.append(c)
-            budget -= stats[c][0]
-    if small:
-        r = df.select(*[F.median(numeric_double(quote(c))).alias(f"m{i}") for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            out[c] = r[f"m{i}"]
-        live = [c for c in live if c not in small]
-        if not live:
-            return out
-    structs = []
-    for c in live:
-        lo, hi = (float(x) for x in stats[c][1])
-        v = numeric_double(quote(c))
-        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
-        structs.append(F.struct(F.lit(c).alias("column"), F.when(inside, v).alias("value"),
-                                (v < F.lit(lo)).alias("below")))
-    long = df.select(F.inline(F.array(*structs))).where(F.col("below").isNotNull())
-    cells = long.groupBy("column", "value", "below").agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    below = {r["column"]: r["n"] for r in
-             cells.where(F.col("below")).groupBy("column").agg(F.sum("n").alias("n")).collect()}
-    ks = []
-    for c in live:
-        n = stats[c][0]
-        b = below.get(c, 0)
-        ks.append((c, (n + 1) // 2 - b, n // 2 + 1 - b))
-    kdf = spark.createDataFrame(ks, "column string, k1 long, k2 long")     # p rows
-    bracket = cells.where(F.col("value").isNotNull()).select("column", "value", "n")
-    cum = running_sum(bracket, ["column"], ["value"], ["n"], num_slices=num_slices, max_groups=len(live))
-    tot = bracket.groupBy("column").agg(F.sum("n").alias("n_in"))
-    picked = (cum.join(F.broadcast(kdf), "column").groupBy("column").agg(
-        F.min(F.when(F.col("cum_n") >= F.col("k1"), F.col("value"))).alias("v1"),
-        F.min(F.when(F.col("cum_n") >= F.col("k2"), F.col("value"))).alias("v2"))
-        .join(tot, "column").join(F.broadcast(kdf), "column"))
-    misses = []
-    for r in picked.collect():                                             # p rows
-        if r["k1"] < 1 or r["k2"] > r["n_in"] or r["v1"] is None or r["v2"] is None:
-            misses.append(r["column"])
-        else:
-            out[r["column"]] = (r["v1"] + r["v2"]) / 2
-    misses += [c for c in live if out[c] is None and c not in misses]
-    if misses:
-        full = exact_medians(value_frequencies(df, misses), n_columns=len(misses), num_slices=num_slices)
-        for r in full.collect():
-            out[r["column"]] = r["median"]
-    return out
+def column_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """Exact medians of the columns, by refined histograms (see ``selection``)."""
+    return medians(df, list(cols))

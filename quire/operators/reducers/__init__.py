@@ -6,5 +6,5 @@ Models expose ``transform(df, keep)``, ``output_dim``, ``names`` and
 iteration after that works on p-sized matrices; transforms are projections.
 """
 from quire.operators.reducers.registry import (  # noqa: F401
-    REGISTRY, SHORTHANDS, ReducerPipeline, build_pipeline, list_reducers, register_reducer,
+    REGISTRY, SHORTHANDS, ReducerPlan, build_pipeline, list_reducers, register_reducer,
 )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
+from quire.operators.categories import categories, indicator, indicator_name, text_columns
 from quire.operators.linalg import project
 from quire.operators.profile import value_frequencies
 
@@ -29,16 +30,29 @@ class ProjectionModel:
             if kind == "col":
                 out.append(quote(payload).cast("double"))
             elif kind == "dummy":
-                c, v = payload
-                out.append((quote(c).cast("double") == F.lit(float(v))).cast("double"))
+                out.append(indicator(*payload))
             elif kind == "quant":
                 c, mapping = payload
-                m = F.create_map(*[x for k, q in mapping.items() for x in (F.lit(float(k)), F.lit(float(q)))])
-                out.append(F.coalesce(m[quote(c).cast("double")], F.lit(0.0)))
+                text = any(isinstance(k, str) for k in mapping)
+                m = F.create_map(*[x for k, q in mapping.items() for x in (F.lit(k if text else float(k)), F.lit(float(q)))])
+                out.append(F.coalesce(m[quote(c).cast("string" if text else "double")], F.lit(0.0)))
             else:
                 raise ValueError(kind)
         return out
 
+    def input_names(self) -> list[str]:
+        return [indicator_name(*payload) if kind == "dummy" else payload if kind == "col" else payload[0] for kind, payload in self.inputs]
+
+    def matrix(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """The centred and scaled inputs that are projected, one column each."""
+        cols = [((F.coalesce(x, F.lit(0.0)) - F.lit(float(c))) / F.lit(float(s))).alias(n) for x, c, s, n in zip(
+            self.input_exprs(df), self.centre, self.scale, self.input_names())]
+        return df.select(*[quote(k) for k in keep], *cols)
+
+    def outputs(self, df: DataFrame) -> dict[str, Column]:
+        """The scores as named expressions over ``df``."""
+        return dict(zip(self.names, project(self.input_exprs(df), self.weights, self.names, self.centre, self.scale)))
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         cols = project(self.input_exprs(df), self.weights, self.names, self.centre, self.scale)
         return df.select(*[quote(k) for k in keep], *cols)
@@ -52,28 +66,32 @@ def names(prefix: str, k: int) -> list[str]:
     return [f"{prefix}_{i + 1:02d}" for i in range(k)]
 
 
-def kinds_and_categories(df: DataFrame, features: Sequence[str], threshold: int = 10
-                         ) -> tuple[list[str], dict[str, list[tuple[float, int]]]]:
+def kinds_and_categories(df: DataFrame, features: Sequence[str], threshold: int = 10) -> tuple[list[str], dict[str, list[tuple]]]:
     """Numeric columns, and for categorical ones the sorted (value, count) list.
 
-    A wide profile pass, then exact value frequencies for low-cardinality
-    candidates only; categorical columns have ≤ ``threshold`` values, so what
+    Text columns are categorical whatever their number of values (see ``categories``). For the others
+    a wide profile pass, then exact value frequencies for low-cardinality
+    candidates only; these have ≤ ``threshold`` values, so what
     reaches the driver is bounded by threshold × p rows.
     """
     from quire.operators.profile import column_profile, low_cardinality_candidates
-    cand = low_cardinality_candidates(column_profile(df, features), threshold)
+    text = text_columns(df, features)
+    texts = {c: v for c, v in categories(df, text).items() if v}
+    plain = [c for c in features if c not in text]
+    cand = low_cardinality_candidates(column_profile(df, plain), threshold) if plain else []
     cat_rows = []
     if cand:   # exact frequencies only for columns that can be categorical
         freq = value_frequencies(df, cand).where(F.col("value").isNotNull())
         nd = freq.groupBy("column").agg(F.count("value").alias("nd"))
         cat_rows = (freq.join(F.broadcast(nd), "column").where(F.col("nd") <= threshold)
                     .select("column", "value", "n").collect())
-    cats: dict[str, list[tuple[float, int]]] = {}
+    cats: dict[str, list[tuple]] = {}
     for r in cat_rows:
         cats.setdefault(r["column"], []).append((r["value"], r["n"]))
     for c in cats:
         cats[c].sort()
-    numeric = [c for c in features if c not in cats]
+    numeric = [c for c in plain if c not in cats]
+    cats |= texts
     categorical = {c: cats[c] for c in features if c in cats}
     return numeric, categorical
 

@@ -21,9 +21,9 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
+from quire.operators.categories import indicator
 from quire.operators.linalg import fix_signs, gram_stats, sym_eig_desc
 from quire.operators.reducers.base import ProjectionModel, choose_k, kinds_and_categories, names
 
@@ -94,7 +94,7 @@ class CATPCAReducer:
             blocks.append(rows)
             quants.append(np.arange(len(vals), dtype=float))
             values.append([v for v, _ in vals])
-            exprs += [(quote(c).cast("double") == F.lit(float(v))).cast("double") for v, _ in vals]
+            exprs += [indicator(c, v) for v, _ in vals]
         n, s, g = gram_stats(df, exprs)
         quants, self.iterations = als_quantify(n, s, g, len(numeric), blocks, quants,
                                                self.max_iter, self.tol)

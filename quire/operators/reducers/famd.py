@@ -14,9 +14,9 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
+from quire.operators.categories import indicator
 from quire.operators.linalg import gram_stats, sym_eig_desc
 from quire.operators.reducers.base import ProjectionModel, choose_k, kinds_and_categories, names
 
@@ -35,8 +35,7 @@ class FAMDReducer:
         inputs = [("col", c) for c in numeric] + \
             [("dummy", (c, v)) for c, vals in cats.items() for v, _ in vals]
         exprs = [quote(c).cast("double") for c in numeric] + \
-            [(quote(c).cast("double") == F.lit(float(v))).cast("double")
-             for c, vals in cats.items() for v, _ in vals]
+            [indicator(c, v) for c, vals in cats.items() for v, _ in vals]
         n, s, g = gram_stats(df, exprs)
         p_num = len(numeric)
         centre = np.zeros(len(inputs))

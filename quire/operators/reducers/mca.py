@@ -12,9 +12,8 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quire.functions.columns import quote
+from quire.operators.categories import indicator
 from quire.operators.linalg import gram_stats, sym_eig_desc
 from quire.operators.reducers.base import ProjectionModel, choose_k, kinds_and_categories, names
 
@@ -28,20 +27,23 @@ class MCAReducer:
         self.categorical_threshold = categorical_threshold
         self.prefix = prefix
 
-    def fit(self, df: DataFrame, features: Sequence[str], label: str | None = None) -> ProjectionModel:
+    def residuals(self, df: DataFrame, features: Sequence[str]) -> tuple[list, np.ndarray, np.ndarray]:
+        """The (column, value) inputs, their masses and SᵀS, the products of the standardised residuals."""
         _, cats = kinds_and_categories(df, features, self.categorical_threshold)
         if not cats:
             raise ValueError("MCA needs at least one categorical column")
-        inputs = [("dummy", (c, v)) for c, vals in cats.items() for v, _ in vals]
-        exprs = [(quote(c).cast("double") == F.lit(float(v))).cast("double")
-                 for c, vals in cats.items() for v, _ in vals]
-        n, s, g = gram_stats(df, exprs)
-        q = len(cats)
-        big_n = n * q
+        inputs = [(c, v) for c, vals in cats.items() for v, _ in vals]
+        n, s, g = gram_stats(df, [indicator(*x) for x in inputs])
+        big_n = n * len(cats)
         c = s / big_n
-        c_safe = np.where(c > 0, c, 1.0)
-        inv = 1.0 / np.sqrt(c_safe)
-        sts = (n * g / big_n ** 2 - np.outer(c, c)) * np.outer(inv, inv)
+        inv = 1.0 / np.sqrt(np.where(c > 0, c, 1.0))
+        return inputs, c, (n * g / big_n ** 2 - np.outer(c, c)) * np.outer(inv, inv)
+
+    def fit(self, df: DataFrame, features: Sequence[str], label: str | None = None) -> ProjectionModel:
+        pairs, c, sts = self.residuals(df, features)
+        inputs = [("dummy", x) for x in pairs]
+        q = len({x[0] for x in pairs})
+        inv = 1.0 / np.sqrt(np.where(c > 0, c, 1.0))
         lam, v = sym_eig_desc(sts)
         keep = lam > 1e-12
         lam, v = lam[keep], v[:, keep]

@@ -4,20 +4,19 @@ Rows are ordered inside each class by a seeded hash of the key, and the first
 ``t_k`` rows of class ``k`` go to the test side, where ``t_k`` follows the
 largest-remainder allocation of a stratified shuffle split (train quota
 allocated first, ties broken by class value). Counts are exact — unlike
-Bernoulli ``sampleBy`` — deterministic, disjoint and exhaustive. The in-class
-row number is a distributed two-phase running count, so a class holding most
-rows is never ranked in one task.
+Bernoulli ``sampleBy`` — deterministic, disjoint and exhaustive. The split needs
+no order of the rows, only the hash at each class's cut; the folds number rows by
+counts of hash prefixes. A class holding most rows is never ranked in one task, and no wide row is written or sorted for the split.
 """
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
-from quire.operators.cumulative import global_row_number
+from quire.operators.selection import hash_rank, select_hashes
 
 
 def hash_order(key: str, seed: int = 42, method: str = "md5", salt: str | None = None) -> Column:
@@ -49,38 +48,30 @@ def holdout_quota(class_counts: dict, test_size: float = 0.2) -> dict:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2,
-                     seed: int = 42, method: str = "md5", num_slices: int | None = None,
-                     flag: str = "is_test") -> DataFrame:
+                     seed: int = 42, method: str = "md5", flag: str = "is_test") -> DataFrame:
     """Add boolean ``flag``: the row belongs to the test side.
 
-    The per-class counts (one row per class) are the only data that reaches
-    the driver; the quota table joins back as a broadcast of that size.
+    Per class the hash of the last test row is found (``selection.select_hashes``; one row per class and
+    a bounded number of counts reach the driver); the split itself is a projection that compares
+    each row's hash with its class's cut. Rows that repeat a key stay on one side.
     """
-    h = "_h"
-    # The input is read by the class count, the range sampling and the slice
-    # checkpoint: keep it materialised for those three passes only.
-    base = df.withColumn(h, hash_order(key, seed, method)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = {r[label]: r["n"] for r in
-                  base.groupBy(quote(label).alias(label)).agg(F.count(F.lit(1)).alias("n")).collect()}
-        quota = holdout_quota(counts, test_size)
-        spark = df.sparkSession
-        qdf = spark.createDataFrame([(k, int(v)) for k, v in quota.items()],
-                                    f"{label} {df.schema[label].dataType.simpleString()}, _quota long")
-        ranked = global_row_number(base, [label], [F.col(h), quote(key)], name="_rn",
-                                   num_slices=num_slices, max_groups=len(quota))
-    finally:
-        base.unpersist()
-    out = ranked.join(F.broadcast(qdf), label)
-    return out.withColumn(flag, F.col("_rn") <= F.col("_quota")).drop("_rn", "_quota", h)
+    h = hash_order(key, seed, method)
+    # Hashes that are not text are compared as zero-padded hexadecimal text.
+    h = h if method == "md5" else F.lower(F.lpad(F.hex(h), 16, "0"))
+    counts = {r[label]: r["n"] for r in
+              df.groupBy(quote(label).alias(label)).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = select_hashes(df, h, label, holdout_quota(counts, test_size))
+    test = F.lit(False)
+    for k, cut in cuts.items():
+        test = test | (quote(label).eqNullSafe(F.lit(k)) & (h <= F.lit(cut)))
+    return df.withColumn(flag, test)
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42,
-                     method: str = "md5", num_slices: int | None = None,
-                     fold_col: str = "fold") -> DataFrame:
+                     method: str = "md5", fold_col: str = "fold") -> DataFrame:
     """Add ``fold`` ∈ [0, k): round-robin over the in-class hash order."""
     h = "_h"
-    ranked = global_row_number(df.withColumn(h, hash_order(key, seed, method, salt="fold")),
-                               [label], [F.col(h), quote(key)], name="_rn",
-                               num_slices=num_slices, max_groups=None)
+    text = hash_order(key, seed, method, salt="fold")
+    text = text if method == "md5" else F.lower(F.lpad(F.hex(text), 16, "0"))
+    ranked = hash_rank(df.withColumn(h, text), h, label, [key], "_rn")
     return ranked.withColumn(fold_col, F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int")).drop("_rn", h)

@@ -6,6 +6,7 @@ the preprocessed train features.
 """
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from quire.operators.preprocess import Preprocessor, PreprocessorModel
 from quire.operators.split import stratified_split
 from quire.plans.cohort import FEATURES, KEY, LABEL, cohort_features
 
+log = logging.getLogger(__name__)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     cohort = cohort_features(spark, sf_dir)
@@ -97,37 +100,51 @@ def tune(name: str, train: DataFrame, features, label: str, key: str, n_trials:
          seed: int = 42, k: int = 5, parallelism: int = 4) -> tuple[dict, float]:
     """Seeded random search maximising mean F1 of the positive class over stratified folds.
 
-    A trial whose fit fails scores 0.
+    All trials and folds of the elastic-net logistic model are fitted together, sharing every pass over the
+    rows (``proximal``). Of the other models a trial whose fit fails is logged and scores 0.
     """
     import numpy as np
-    from quire.operators.models import DEFAULT_TRIALS, build_model, positive_weight, sample_params
-    from quire.operators.metrics import confusion_counts, metrics_from_counts
+    from quire.operators.models import DEFAULT_TRIALS, positive_weight, sample_params
     from quire.operators.split import stratified_folds
     rng = np.random.default_rng(seed)
-    spw = positive_weight(train, label)
     folded = stratified_folds(train, key, label, k=k, seed=seed).cache()
-    best, best_score = {}, -1.0
-    for _ in range(n_trials or DEFAULT_TRIALS[name]):
-        params = sample_params(name, rng)
-        spec = build_model(name, params, spw)
-        try:
-            def one(f, spec=spec):
-                fitted = spec.fit(folded.where(F.col("fold") != f), features, label)
-                return (fitted.predict(folded.where(F.col("fold") == f), keep=[label])
-                        .withColumn("fold", F.lit(f)))
-            from concurrent.futures import ThreadPoolExecutor
-            from functools import reduce
-            with ThreadPoolExecutor(max_workers=parallelism) as pool:   # folds fit concurrently
-                preds = list(pool.map(one, range(k)))
-            allp = reduce(DataFrame.unionByName, preds)
-            m = metrics_from_counts(confusion_counts(allp, label, "prediction", ["fold"]), ["fold"], None)
-            score = float(m.agg(F.avg("f1_ap")).first()[0] or 0.0)
-        except Exception:  # noqa: BLE001 - failed trial scores 0
-            score = 0.0
-        if score > best_score:
-            best, best_score = params, score
+    trials = [sample_params(name, rng) for _ in range(n_trials or DEFAULT_TRIALS[name])]
+    if name == "logistic_regression":
+        scores = _logistic_trials(folded, features, label, trials, k)
+    else:
+        spw = positive_weight(train, label)
+        scores = [_trial(name, params, spw, folded, features, label, key, k, parallelism) for params in trials]
     folded.unpersist()
-    return best, best_score
+    at = max(range(len(trials)), key=lambda i: scores[i])
+    return trials[at], scores[at]
+
+
+def _logistic_trials(folded: DataFrame, features, label: str, trials: list[dict], k: int) -> list[float]:
+    from quire.operators import proximal
+    rows = proximal.prepared(folded, features, label, "fold")
+    settings = [proximal.Setting(p["C"], p["l1_ratio"], f) for p in trials for f in range(k)]
+    return proximal.mean_f1(rows, proximal.fit(rows, settings), settings)
+
+
+def _trial(name: str, params: dict, pos_weight: float, folded: DataFrame, features, label: str, key: str, k: int, parallelism: int) -> float:
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce
+    from quire.operators.metrics import confusion_counts, metrics_from_counts
+    from quire.operators.models import build_model
+    spec = build_model(name, params, pos_weight, key)
+
+    def one(f):
+        fitted = spec.fit(folded.where(F.col("fold") != f), features, label)
+        return fitted.predict(folded.where(F.col("fold") == f), keep=[label]).withColumn("fold", F.lit(f))
+
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:   # folds fit concurrently
+            preds = reduce(DataFrame.unionByName, list(pool.map(one, range(k))))
+        m = metrics_from_counts(confusion_counts(preds, label, "prediction", ["fold"]), ["fold"], None)
+        return float(m.agg(F.avg("f1_ap")).first()[0] or 0.0)
+    except Exception:  # noqa: BLE001 - one failing trial must not end the search
+        log.exception("trial of %s with %s failed and scores 0", name, params)
+        return 0.0
 
 
 @dataclass

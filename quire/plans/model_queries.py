@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.operators import trees
 from quire.operators.models import build_model, positive_weight
 from quire.operators.preprocess import Preprocessor
-from quire.plans.cohort import FEATURES, KEY, LABEL, cohort_features
+from quire.plans.cohort import FEATURES, KEY, LABEL, cohort_features, labelled_cohort
 from quire.plans.cohort_queries import split_cohort
 from quire.plans.experiment import cross_validate, run_experiment, score_model, tune
 
@@ -26,7 +27,7 @@ def _parts(spark, sf_dir):
 def _test_metrics(name):
     def q(spark, sf_dir):
         train, test, feats = _parts(spark, sf_dir)
-        spec = build_model(name, {}, positive_weight(train, LABEL))
+        spec = build_model(name, {}, positive_weight(train, LABEL), KEY)
         _, rec = score_model(spec, train, test, feats, LABEL, KEY)
         return rec
     return q
@@ -45,7 +46,7 @@ def q_logistic_cv(spark, sf_dir):
 
 def q_logistic_tuning(spark, sf_dir):
     train, _, feats = _parts(spark, sf_dir)
-    best, score = tune("logistic_regression", train, feats, LABEL, KEY, n_trials=4)
+    best, score = tune("logistic_regression", train, feats, LABEL, KEY)
     return spark.createDataFrame([(k, str(v)) for k, v in best.items()] + [("best_cv_f1", str(score))],
                                  "param string, value string")
 
@@ -71,7 +72,59 @@ QUERIES = {
     "experiment_pca": q_experiment_pca,
 }
 
-SQL: dict[str, str] = {}
+BAGS, SEED = 25, 42
+
+
+def _drawn(spark, sf_dir):
+    """Labelled ids with their class and key hashes, the bags' lines and the class counts."""
+    rows = labelled_cohort(spark, sf_dir)
+    h1, h2 = trees.key_hashes(F.col(KEY))
+    counts = {r[LABEL]: r["n"] for r in rows.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rates = trees.class_rates(counts.get(0, 0), counts.get(1, 0))
+    return rows.select(LABEL, h1.alias("h1"), h2.alias("h2")), trees.lines(BAGS, SEED), rates
+
+
+def _per_bag(rows, counts):
+    bags = F.array(*[F.struct(F.lit(k).alias("bag"), c.cast("bigint").alias("n")) for k, c in enumerate(counts)])
+    return rows.select(LABEL, F.inline(bags)).groupBy("bag", LABEL).agg(
+        F.sum("n").alias("drawn"), F.count_if(F.col("n") > 0).alias("distinct_rows"))
+
+
+def q_forest_bag_counts(spark, sf_dir):
+    rows, lines, rates = _drawn(spark, sf_dir)
+    steps = [trees.poisson_steps(r) for r in rates]
+    return _per_bag(rows, [trees.bag_count_column(F.col("h1"), F.col("h2"), F.col(LABEL), line, steps) for line in lines])
+
+
+def q_easy_bag_counts(spark, sf_dir):
+    rows, lines, rates = _drawn(spark, sf_dir)
+    limit = F.when(F.col(LABEL) == 1, F.lit(int(rates[1] * trees.PRIME))).otherwise(F.lit(int(rates[0] * trees.PRIME)))
+    return _per_bag(rows, [(trees.draw(F.col("h1"), F.col("h2"), line) < limit).cast("int") for line in lines])
+
+
+QUERIES["forest_bag_counts"] = q_forest_bag_counts
+QUERIES["easy_bag_counts"] = q_easy_bag_counts
+
+_DRAWS = """
+WITH c AS (SELECT doc_id, CAST(toxic AS INTEGER) AS y, md5(doc_id::VARCHAR) AS m FROM labels WHERE toxic IN (0, 1)),
+n AS (SELECT count(*) FILTER (y = 0)::DOUBLE AS n0, count(*) FILTER (y = 1)::DOUBLE AS n1 FROM c),
+r AS (SELECT 0 AS y, least(n0, n1) / greatest(n0, 1) AS rate FROM n UNION ALL SELECT 1, least(n0, n1) / greatest(n1, 1) FROM n),
+line(bag, a, b, c) AS (VALUES """ + ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(trees.lines(BAGS, SEED))) + f"""),
+draws AS (SELECT bag, c.y, ('0x' || substr(m, 1, 7))::BIGINT AS h1, ('0x' || substr(m, 8, 7))::BIGINT AS h2, line.a, line.b, line.c FROM c CROSS JOIN line),
+u AS (SELECT bag, d.y, rate, (h1 * a + h2 * b + c) % {trees.PRIME} AS u FROM draws d JOIN r USING (y))"""
+
+SQL: dict[str, str] = {
+    "forest_bag_counts": _DRAWS + f""",
+k AS (SELECT y, rate, unnest(range(0, 40)) AS k FROM r),
+terms AS (SELECT y, k, exp(-rate) * pow(rate, k) / factorial(k::INTEGER) AS p FROM k WHERE k <= 20),
+steps AS (SELECT y, k, sum(p) OVER (PARTITION BY y ORDER BY k) AS total, sum(p) OVER (PARTITION BY y ORDER BY k) - p AS before FROM terms),
+held AS (SELECT bag, u.y, u.u, count(s.k) AS n FROM u LEFT JOIN steps s ON s.y = u.y AND u.u >= CAST(floor(s.total * {trees.PRIME}) AS BIGINT) AND s.before < 1 - 1e-12
+  GROUP BY bag, u.y, u.u)
+SELECT bag, y, CAST(sum(held.n) AS BIGINT) AS drawn, CAST(count(*) FILTER (held.n > 0) AS BIGINT) AS distinct_rows FROM held GROUP BY bag, y""",
+    "easy_bag_counts": _DRAWS + f"""
+SELECT bag, y, count(*) FILTER (u < CAST(floor(rate * {trees.PRIME}) AS BIGINT)) AS drawn,
+  count(*) FILTER (u < CAST(floor(rate * {trees.PRIME}) AS BIGINT)) AS distinct_rows FROM u GROUP BY bag, y""",
+}
 
 
 def q_mixture_of_experts(spark, sf_dir):

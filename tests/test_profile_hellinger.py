@@ -92,19 +92,42 @@ def test_selector_selects_top(spark):
     assert model.selected == ["good"]
 
 
-def test_bracketed_medians(spark):
+def test_medians_by_refined_histograms(spark):
     from quire.operators.profile import column_medians
     rng = np.random.default_rng(13)
     n = 5001
     pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 7, n).astype(float),
                         "c": np.r_[rng.normal(size=n - 1), np.nan], "d": [np.nan] * n,
-                        "e": np.r_[np.zeros(n - 2), [5.0, 6.0]]})
-    got = column_medians(spark.createDataFrame(pdf), list(pdf.columns), accuracy=200, budget=0)
-    small = column_medians(spark.createDataFrame(pdf), list(pdf.columns))
+                        "e": np.r_[np.zeros(n - 2), [5.0, 6.0]], "wide": np.exp(rng.normal(scale=80, size=n)) * rng.choice([-1, 1], n),
+                        "huge": rng.choice([-1.7e308, 1.7e308, 1.0, np.inf], n), "one": np.full(n, 2.5),
+                        "near": 1.0 + rng.integers(0, 3, n) * 2.0 ** -52})
+    df = spark.createDataFrame(pdf)
+    got = column_medians(df, list(pdf.columns))
     for c in pdf.columns:
-        assert small[c] == got[c] or (small[c] is None and got[c] is None), c
         exp = pdf[c].median()
-        assert (got[c] is None and np.isnan(exp)) or abs(got[c] - exp) < 1e-12, c
+        assert (got[c] is None and np.isnan(exp)) or got[c] == exp, c
+    assert column_medians(df.limit(0), ["a"]) == {"a": None}
+    plan = df.select("a")._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_selected_ranks_and_hashes(spark):
+    from quire.operators.selection import hash_rank, select_hashes, select_values
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": rng.choice(["x", "y"], 3000, p=[.95, .05]), "k": np.arange(3000), "v": rng.integers(0, 50, 3000).astype(float)})
+    df = spark.createDataFrame(pdf)
+    want = sorted(pdf["v"])
+    got = select_values(df, {"v": [1, 2, 1500, 3000]}, {"v": (want[0], want[-1])})
+    assert got == {("v", k): want[k - 1] for k in (1, 2, 1500, 3000)}
+    import hashlib
+    h = {k: hashlib.md5(str(k).encode()).hexdigest() for k in pdf["k"]}
+    hashed = df.withColumn("h", F.md5(F.col("k").cast("string")))
+    cuts = select_hashes(hashed, F.col("h"), "g", {"x": 700, "y": 3, "z": 0})
+    for g, k in (("x", 700), ("y", 3)):
+        assert cuts[g] == sorted(h[i] for i in pdf.loc[pdf["g"] == g, "k"])[k - 1]
+    ranked = hash_rank(hashed, "h", "g", ["k"], "rn").toPandas()
+    for g, part in ranked.groupby("g"):
+        assert part.sort_values("h")["rn"].tolist() == list(range(1, len(part) + 1))
 
 
 def test_hellinger_hot_value(spark):

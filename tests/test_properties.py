@@ -26,7 +26,7 @@ def test_quota_properties(counts, frac):
 def test_split_exact(spark, n, rate, seed):
     rng = np.random.default_rng(seed)
     pdf = pd.DataFrame({"k": rng.permutation(n * 3)[:n], "y": (rng.random(n) < rate).astype(int)})
-    out = stratified_split(spark.createDataFrame(pdf), "k", "y", num_slices=3).toPandas()
+    out = stratified_split(spark.createDataFrame(pdf), "k", "y").toPandas()
     quota = holdout_quota(pdf["y"].value_counts().to_dict(), 0.2)
     got = out[out.is_test].groupby("y").size().to_dict()
     assert {k: got.get(k, 0) for k in quota} == quota and len(out) == n

@@ -33,7 +33,7 @@ def test_split_exact_disjoint_deterministic(spark):
     pdf = pd.DataFrame({"k": np.arange(1000), "y": (rng.random(1000) < 0.08).astype(int)})
     df = spark.createDataFrame(pdf)
     a = stratified_split(df, "k", "y").toPandas()
-    b = stratified_split(df, "k", "y", num_slices=3).toPandas()
+    b = stratified_split(df.repartition(7), "k", "y").toPandas()
     counts = pdf["y"].value_counts().to_dict()
     quota = holdout_quota(counts)
     got = a[a.is_test].groupby("y").size().to_dict()
