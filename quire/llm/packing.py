@@ -24,12 +24,11 @@ import os
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, stable
+from .common import beside, blocks, documents, stable
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,6 +36,8 @@ END_ID = 1
 BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 20, 1 << 19, 64
 #: A digit is always a word piece of its own for the tokenizer; new words encoded in one text.
 MARK, TOGETHER = "0", 1024
+#: What the last piece of each run of letters, digits or other characters ends with in the tokenizer's vocabulary.
+WORD_END = "</w>"
 
 
 def tokenizer_path() -> str:
@@ -52,6 +53,8 @@ class WordEncoder:
     those of its space-separated words in a row (``tests/llm`` compares with whole texts).
     Special tokens hold no space; with ``special_as_text`` their strings are split like any
     other word, without it they become their ids, as the tokenizer does by itself.
+    Two generations of words are remembered: when the young one is full it becomes the old one, and
+    words met again move back, so common words stay.
     """
 
     def __init__(self, path: str, special_as_text: bool = True):
@@ -61,42 +64,81 @@ class WordEncoder:
         tok.encode_special_tokens = special_as_text
         self.batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         (self.mark_id,) = tok.encode(MARK, add_special_tokens=False).ids
+        vocabulary = tok.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+
+    def _cut(self, words: list[str], ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
+        """Remembers each word's ids; ``ends`` are the places after them, followed by ``skip`` ids of a mark."""
+        raw, starts = ids.tobytes(), np.concatenate([[0], ends[:-1] + skip])
+        self.known.update(zip(words, map(lambda s, e: raw[s:e], (4 * starts).tolist(), (4 * ends).tolist())))
+
+    def _marked(self, words: list[str]) -> None:
+        """Many words in one text, parted by a word whose id no other word can yield."""
+        parts = [words[s:s + TOGETHER] for s in range(0, len(words), TOGETHER)]
+        for part, e in zip(parts, self.batch([f" {MARK} ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            self._cut(part, ids, np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1)
+
+    def _learn(self, new: set[str]) -> None:
+        for w in [w for w in new if w in self.old]:
+            self.known[w] = self.old[w]
+            new.discard(w)
+        alone = [w for w in new if MARK in w]
+        for w, e in zip(alone, self.batch(alone, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        letters, others = [], [""] if "" in new else []
+        for w in new.difference(alone, [""]):
+            (letters if w.isalpha() else others).append(w)
+        parts = [letters[s:s + TOGETHER] for s in range(0, len(letters), TOGETHER)]
+        for part, e in zip(parts, self.batch([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            # Each word closes at least once; as many ends as words means that each is one run of letters for the tokenizer too.
+            if len(ends) == len(part):
+                self._cut(part, ids, ends, 0)
+            else:
+                others += part
+        self._marked(others)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         new = set().union(*split).difference(self.known)
-        alone = [w for w in new if MARK in w]
-        joined = [w for w in new if MARK not in w]
-        for w, e in zip(alone, self.batch(alone, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        # Many new words go in one text, parted by a word whose id no other word can yield.
-        parts = [joined[s:s + TOGETHER] for s in range(0, len(joined), TOGETHER)]
-        for words, e in zip(parts, self.batch([f" {MARK} ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            raw = ids.tobytes()
-            self.known.update(zip(words, map(lambda s, e: raw[s:e], [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)])))
+        long = [w for w in new if len(w) > LONGEST]
+        self._learn(new)
         of = self.known.__getitem__
         out = [b"".join(map(of, words)) for words in split]
-        for w in [w for w in new if len(w) > LONGEST]:
-            del self.known[w]
+        for w in long:
+            self.known.pop(w, None)
         return out
 
 
+_ENCODERS: dict[tuple, WordEncoder] = {}
+
+
+def encoder_of(path: str, special_as_text: bool) -> WordEncoder:
+    """One encoder for each Python worker, so that its tasks share the words remembered."""
+    key = path, special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(path, special_as_text)
+    return _ENCODERS[key]
+
+
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, local_rank); local_rank counts equal lengths within a task."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        encoder, end = WordEncoder(path, special_as_text=False), np.array([end_id], dtype="<u4").tobytes()
+    def make():
+        encoder, end = encoder_of(path, False), np.array([end_id], dtype="<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), {}
-        for b in batches:
-            out = []
-            texts = [t or "" for t in b["text"].tolist()]
+
+        def run(texts):
+            out: dict[str, list] = {c: [] for c in ("_row", "piece", "start", "length", "ids_crc32", "task", "local_rank")}
+            add = [x.append for x in out.values()]
+            texts = [t or "" for t in texts]
             for at, upto in blocks(texts, BLOCK_CHARS):
                 for j, raw in enumerate(encoder.encode(texts[at:upto]), at):
                     raw += end
@@ -104,11 +146,12 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
                         p = raw[4 * s:4 * (s + capacity)]
                         n = len(p) // 4
                         r = seen[n] = seen.get(n, -1) + 1
-                        out.append((b["doc_id"].iat[j], k, s, n, zlib.crc32(p), task, r))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "local_rank"]).astype({"doc_id": b["doc_id"].dtype})
+                        for f, v in zip(add, (j, k, s, n, zlib.crc32(p), task, r)):
+                            f(v)
+            return out
+        return run
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, local_rank long")
+    return beside(docs, make, "piece int, start long, length long, ids_crc32 long, task int, local_rank long")
 
 
 class Plan:
@@ -196,23 +239,20 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     table = np.array(sorted(Plan(histogram, capacity).entries) or np.zeros((0, 5)), dtype=np.int64).reshape(-1, 5)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("local_rank") + F.col("before")).drop("task", "local_rank", "before")
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def place(batches):
-        plan = shared.value
-        shift = 1 << 48
+    def make():
+        plan, shift = shared.value, 1 << 48
         keys = plan[:, 0] * shift + plan[:, 1]
-        for b in batches:
-            n, r = b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64)
+
+        def place(lengths, ranks):
+            n, r = np.array(lengths, dtype=np.int64), np.array(ranks, dtype=np.int64)
             e = plan[np.searchsorted(keys, n * shift + r, side="right") - 1]
             nth = r - e[:, 1]
-            b["sequence_id"] = e[:, 3] + nth // e[:, 2]
-            b["offset"] = e[:, 4] + nth % e[:, 2] * n
-            yield b[names]
+            return {"sequence_id": e[:, 3] + nth // e[:, 2], "offset": e[:, 4] + nth % e[:, 2] * n}
+        return place
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.select(*names[:5], "rank").mapInPandas(
-        place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return beside(ranked, make, "sequence_id long, offset long", keep=names, read=["length", "rank"])
 
 
 def op5_best_fit_packing(spark, sf_dir) -> DataFrame:
