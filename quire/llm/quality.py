@@ -17,7 +17,8 @@ enough good labels to certify anything (n >= ln(alpha') / ln(1 - risk)).
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null language is a stratum of its own; documents with several label rows count
-once per distinct label; an empty table gives no rows; rows keep their number.
+once per distinct label, equal texts each (the bound takes labelled documents as independent, so
+many labelled copies of one text make it optimistic); an empty table gives no rows; rows keep their number.
 """
 from __future__ import annotations
 
@@ -122,12 +123,15 @@ def select_cutoffs(counts: list[dict], strata: int, risk=RISK, alpha=ALPHA, prec
     return {k: v[1] for k, v in best.items()}
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, risk=RISK, alpha=ALPHA, precision=PRECISION) -> dict[tuple, float]:
-    """Certified cutoffs from all labelled documents."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang and the counts under reserved names) of every row, written once: narrow, without texts."""
+    return stable(with_stats(docs.select("doc_id", "text", "lang")).drop("text"))
+
+
+def cutoffs(stats: DataFrame, labels: DataFrame, risk=RISK, alpha=ALPHA, precision=PRECISION) -> dict[tuple, float]:
+    """Certified cutoffs from all labelled documents of ``counted`` rows; no text crosses the join."""
     truth = labels.where("quality is not null").select(F.col("doc_id").alias("_q_id"), F.col("quality").alias("_q_good")).distinct()
-    held = with_stats(docs.select("doc_id", "text", F.col("lang").alias("_q_stratum")).join(truth, F.col("doc_id") == F.col("_q_id")))
-    # Written once, so that the filter below is not moved under (and does not repeat) the counting of windows.
-    held = stable(held.drop("text"))
+    held = stats.withColumnRenamed("lang", "_q_stratum").join(truth, F.col("doc_id") == F.col("_q_id"))
     good = F.col("_q_good") == 1
     flags = [F.struct(F.lit(r).alias("rule"), F.lit(float(t)).alias("cutoff"), (RULES[r](_c) > t).alias("beyond"))
              for r, grid in GRID.items() for t in grid]
@@ -135,7 +139,7 @@ def cutoffs(docs: DataFrame, labels: DataFrame, risk=RISK, alpha=ALPHA, precisio
     table = per.groupBy("_q_stratum", "f.rule", "f.cutoff").agg(
         F.count_if("good").alias("n_good"), F.count_if(F.col("good") & F.col("f.beyond")).alias("good_beyond"),
         F.count_if(~F.col("good") & F.col("f.beyond")).alias("bad_beyond"))
-    strata = max(1, docs.agg(F.count_distinct(F.coalesce("lang", F.lit("")))).first()[0])
+    strata = max(1, stats.select("lang").distinct().count())
     enough = math.log(alpha / (strata * sum(len(g) for g in GRID.values()))) / math.log1p(-risk)
     rows = table.where((F.col("n_good") >= enough) & (F.col("bad_beyond") > 0)).withColumnRenamed("_q_stratum", "stratum").collect()
     return select_cutoffs([r.asDict() for r in rows], strata, risk, alpha, precision)
@@ -151,15 +155,15 @@ def verdict(chosen: dict[tuple, float]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
     """One row per document with its counts, ``base_failed`` and ``kept``."""
-    chosen = cutoffs(docs, labels, **risk)
-    stats = with_stats(docs.select("doc_id", "text", "lang"))
+    stats = counted(docs)
+    chosen = cutoffs(stats, labels, **risk)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return stats.select("doc_id", *[_c(n).alias(n) for n in names], verdict(chosen).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
     """The documents kept, with their own columns."""
-    keep = verdict(cutoffs(docs, labels, **risk))
+    keep = verdict(cutoffs(counted(docs), labels, **risk))
     # explode() of null drops the row; a plain filter would be moved under the counts and repeat them.
     judged = with_stats(docs).select("*", F.explode(F.when(keep, F.array(F.lit(1)))).alias("_q_kept"))
     return judged.select(*[docs[c] for c in docs.columns])
