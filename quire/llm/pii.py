@@ -13,14 +13,17 @@ of that round; rounds end when no pattern is added. Trusted patterns reveal unse
 identifiers wherever they occur, as spans of kind ``context``.
 
 Offsets count code points, ends are exclusive. A match's place is the sum of
-the lengths of what split() leaves before it and of the earlier matches.
+the lengths of what split() leaves before it and of the earlier matches; these sums are taken in chunks
+of ``CHUNK`` matches and then over the chunks, so a text of a million numbers is no square of work. Arrays that a
+later expression reads element by element first pass through explode() of one row, which keeps the
+optimizer from computing them anew for each element.
 ``\\G`` guards let a pattern start only at the start of a run of its characters or where
 the last match ended: the same matches, without retrying at each character of
 a long run. Possessive groups keep the JVM's matcher from recursing.
 
 Defined results: null text is empty (no spans); a text without spans has the
 digest of the empty text; repeated rows get the same answer; an empty table
-gives no rows; other columns are never read.
+gives no rows; null ids are kept; other columns are never read.
 """
 from __future__ import annotations
 
@@ -44,22 +47,49 @@ CONTEXT = (r"(?<=^|[\x20\x09-\x0D])(?:[+(]{0,2}[0-9]++(?:-[0-9]++)*+\)?"
            r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)")
 MIN_CONFIDENCE, MIN_SEEDS = 0.8, 5
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
+_TEXTS = "array<string>"
+#: Elements of an array that are summed one after the other.
+CHUNK = 128
 
 
-def found(text: Column, pattern: str, kind: int, guard: str) -> Column:
-    """All matches of a pattern as spans (kind, start, end, value); a text without ``guard`` has none."""
-    p = F.lit(pattern)
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often later expressions read them."""
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_p_made")
+    return df.select("*", made).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_p_made.{k}").alias(k) for k in columns])
 
-    def step(acc, x):
-        at = acc["at"] + F.length(x["g"])
-        end = at + F.length(x["h"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), x["h"].alias("value")))).alias("out"))
 
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h"))
-    return F.when(text.rlike(guard), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+def _running(values: str, join) -> Column:
+    """Running values of a settled int array under ``join`` (sum or maximum, of numbers >= 0)."""
+    def within(part):
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, zero, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(
+            acc["out"], F.array(join(acc["at"], x))).alias("out")), lambda acc: acc["out"])
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda i: within(F.slice(values, i * CHUNK + 1, CHUNK)))
+    before = F.concat(F.array(F.lit(0)), within(F.transform(chunks, lambda c: F.element_at(c, -1))))
+    summed = F.flatten(F.zip_with(chunks, F.slice(before, 1, F.size(before) - 1), lambda c, o: F.transform(c, lambda x: join(x, o))))
+    return F.when(F.size(values) > 0, summed).otherwise(F.array().cast("array<int>"))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def with_matches(df: DataFrame, patterns: dict[str, tuple[str, str]], text: str = "_p_text") -> DataFrame:
+    """For each name and its (pattern, guard): ``_g_<name>`` (text before each match), ``_h_<name>`` (matches), ``_e_<name>`` (their ends).
+
+    A text without a guard's match has none.
+    """
+    t, none = F.col(text), F.array().cast(_TEXTS)
+    cuts = {}
+    for k, (pattern, guard) in patterns.items():
+        cuts[f"_h_{k}"] = F.when(t.rlike(guard), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
+        cuts[f"_s_{k}"] = F.when(t.rlike(guard), F.split(t, pattern, -1)).otherwise(none)
+    df = _settled(df, **cuts)
+    lengths = {f"_l_{k}": F.zip_with(F.slice(f"_s_{k}", 1, F.size(f"_h_{k}")), f"_h_{k}", lambda g, h: F.length(g) + F.length(h)) for k in patterns}
+    df = _settled(df, **lengths, **{f"_g_{k}": F.slice(f"_s_{k}", 1, F.size(f"_h_{k}")) for k in patterns})
+    df = _settled(df, **{f"_e_{k}": _running(f"_l_{k}", _add) for k in patterns})
+    return df.drop(*[f"_{c}_{k}" for k in patterns for c in "sl"])
 
 
 def _digits(v: Column) -> Column:
@@ -89,47 +119,61 @@ def _checker(kind: str):
     return lambda span: _valid(kind, span["value"])
 
 
-def with_base(docs: DataFrame) -> DataFrame:
-    """Adds ``_p_text`` and one array of valid spans for each base kind (``_p_email``...)."""
-    df = docs.withColumn("_p_text", text_or_empty("text"))
-    for i, k in enumerate(KINDS):
-        df = df.withColumn(f"_p_{k}", F.filter(found(F.col("_p_text"), PATTERNS[k], i, GUARDS[k]), _checker(k)))
-    return df
-
-
-def in_context(text: Column) -> Column:
-    """All identifier-like tokens as spans with ``words``: the two before (lower case, one space; starts with a space if fewer)."""
-    gaps, hits = F.split(ascii_lower(text), CONTEXT, -1), F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(0))
-    kind = "array<struct<start:int,end:int,value:string,words:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+def _spans(name: str, kind: int) -> Column:
+    """(kind, start, end, value) of all matches."""
+    return F.zip_with(f"_h_{name}", f"_e_{name}", lambda h, e: F.struct(
+        F.lit(kind).alias("kind"), (e - F.length(h)).alias("start"), e.alias("end"), h.alias("value")))
 
-    def step(acc, x):
-        at = acc["at"] + F.length(x["g"])
-        end = at + F.length(x["h"])
-        last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        # Between two tokens stand few words: with the last token and its words, two are always there.
-        before = F.concat(F.coalesce(F.concat(last["words"], F.lit(" "), ascii_lower(last["value"])), F.lit("")), x["g"])
-        words = F.concat(F.array(F.lit(""), F.lit("")), F.filter(F.split(before, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            at.alias("start"), end.alias("end"), x["h"].alias("value"), F.array_join(F.slice(words, -2, 2), " ").alias("words")))).alias("out"))
 
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h"))
-    return F.when(text.rlike("[0-9@]"), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+def with_base(docs: DataFrame, context: bool = False) -> DataFrame:
+    """Adds ``_p_text`` and one array of valid spans for each base kind (``_p_email``...); with ``context`` the matches of CONTEXT too."""
+    df = docs.withColumn("_p_text", text_or_empty("text"))
+    wanted = {k: (PATTERNS[k], GUARDS[k]) for k in KINDS} | ({"context": (CONTEXT, "[0-9@]")} if context else {})
+    df = with_matches(df, wanted)
+    df = _settled(df, **{f"_p_{k}": F.filter(_spans(k, i), _checker(k)) for i, k in enumerate(KINDS)})
+    return df.drop(*[f"_{c}_{k}" for k in KINDS for c in "ghe"])
 
 
 def with_tokens(based: DataFrame) -> DataFrame:
-    """Adds ``_p_tokens``: identifier-like tokens (start, end, value, pattern, known)."""
-    df = based.withColumn("_p_raw", in_context(F.col("_p_text")))
-    df = df.withColumn("_p_base", F.concat(*[F.col(f"_p_{k}") for k in KINDS]))
+    """Adds ``_p_tokens``: identifier-like tokens (start, end, value, pattern, known).
+
+    The pattern is the two words before (lower case, one space). Between two tokens may stand
+    fewer words; then words of the tokens before count, and with two tokens back two are always there.
+    """
+    low = lambda name: F.transform(name, ascii_lower)
+    gap, hit = low("_g_context"), low("_h_context")
+    back = lambda c, k: F.slice(F.concat(F.array_repeat(F.lit(""), k), c), 1, F.size("_h_context"))
+    before = F.transform(F.arrays_zip(back(hit, 2).alias("h2"), back(gap, 1).alias("g1"), back(hit, 1).alias("h1"), gap.alias("g")),
+                         lambda x: F.concat(x["h2"], F.lit(" "), x["g1"], x["h1"], x["g"]))
+    words = F.transform(before, lambda t: F.array_join(F.slice(F.concat(F.array(F.lit(""), F.lit("")), F.filter(
+        F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")), -2, 2), " "))
+    seeds = F.sort_array(F.transform(F.concat(*[F.col(f"_p_{k}") for k in KINDS]), lambda b: F.struct(
+        b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"))))
+    df = _settled(based, _p_words=words, _p_seeds=seeds, _l_end=F.transform(seeds, lambda b: b["end"]))
+    # Of the seeds that start before a token's end the one that reaches farthest overlaps the token, if any does.
+    df = _settled(df, _far=_running("_l_end", F.greatest))
+    df = _settled(df, _l_at=F.transform(F.arrays_zip("_l_end", "_far"), lambda x, i: F.when(x["_l_end"] == x["_far"], i).otherwise(0)))
+    df = _settled(df, _at=_running("_l_at", F.greatest))
+    # Token ends and seed starts in one order: the seeds before each token's end are counted on the way.
+    event = lambda place, seed: F.struct(place.alias("place"), F.lit(seed).alias("seed"))
+    order = F.sort_array(F.concat(F.transform("_e_context", lambda e: event(e, 0)), F.transform("_p_seeds", lambda b: event(b["start"], 1))))
+    df = _settled(df, _order=F.when((F.size("_p_seeds") > 0) & (F.size("_e_context") > 0), order).otherwise(F.array().cast("array<struct<place:int,seed:int>>")))
+    df = _settled(df, _l_seed=F.transform("_order", lambda x: x["seed"]))
+    counted = F.filter(F.arrays_zip(F.col("_l_seed").alias("seed"), _running("_l_seed", _add).alias("n")), lambda x: x["seed"] == 0)
+    df = _settled(df, _n=F.transform(counted, lambda x: x["n"]))
+    raw = F.arrays_zip(F.col("_h_context").alias("value"), F.col("_e_context").alias("end"), F.col("_p_words").alias("words"), F.col("_n").alias("n"))
 
     def token(s):
+        start = s["end"] - F.length(s["value"])
+        far = F.get("_p_seeds", F.get("_at", s["n"] - 1))
+        seed = F.when((s["n"] > 0) & (far["end"] > start), far)
         # A seed is one instance with its whole value; only its first token has a pattern.
-        seed = F.get(F.filter("_p_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])), F.lit(0))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(seed["value"], s["value"]).alias("value"),
-                        F.when(~F.startswith(s["words"], F.lit(" ")) & F.coalesce(s["start"] <= seed["start"], F.lit(True)), s["words"]).alias("pattern"),
+        return F.struct(start.alias("start"), s["end"].alias("end"), F.coalesce(seed["value"], s["value"]).alias("value"),
+                        F.when(~F.startswith(s["words"], F.lit(" ")) & F.coalesce(start <= seed["start"], F.lit(True)), s["words"]).alias("pattern"),
                         seed.isNotNull().alias("known"))
 
-    return df.withColumn("_p_tokens", F.transform("_p_raw", token)).drop("_p_raw", "_p_base")
+    return df.withColumn("_p_tokens", F.transform(raw, token)).drop(
+        "_p_words", "_p_seeds", "_g_context", "_h_context", "_e_context", "_l_end", "_far", "_l_at", "_at", "_order", "_l_seed", "_n")
 
 
 def patterns(tokens: DataFrame) -> DataFrame:
@@ -154,27 +198,19 @@ def patterns(tokens: DataFrame) -> DataFrame:
         trusted = added if trusted is None else stable(trusted.unionByName(added))
 
 
-def identifiers(docs: DataFrame) -> DataFrame:
-    """(id, key, start, end, value, pattern, known) of every identifier-like token or seed, written once."""
-    rows = with_tokens(with_base(docs.select("doc_id", "text"))).select(
-        F.col("doc_id").alias("id"), F.xxhash64("_p_text").alias("key"), F.explode("_p_tokens").alias("t")).select("id", "key", "t.*")
-    return stable(rows)
+def scanned(docs: DataFrame) -> DataFrame:
+    """(id, key, base spans, identifier-like tokens) of every row, written once and without texts; ``key`` is a hash of the text."""
+    df = with_base(docs.select(F.col("doc_id").alias("id"), "text"), context=True).withColumn("key", F.xxhash64("_p_text")).drop("text", "_p_text")
+    return stable(with_tokens(df).select("id", "key", *[f"_p_{k}" for k in KINDS], "_p_tokens"))
 
 
-def context_spans(tokens: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(id, key, spans) of unseen identifiers that trusted patterns reveal; few rows."""
+def context_spans(rows: DataFrame) -> DataFrame:
+    """(_p_id, _p_key, _p_context) of unseen identifiers that trusted patterns reveal; few rows."""
+    tokens = rows.select("id", "key", F.explode("_p_tokens").alias("t")).select("id", "key", "t.*")
+    trusted = patterns(tokens.select("pattern", "value", "known"))
     hits = tokens.where(~F.col("known")).join(trusted, "pattern", "left_semi")
-    return hits.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct(
-        F.lit(len(KINDS)).alias("kind"), "start", "end", "value"))).alias("_p_context"))
-
-
-def with_spans(docs: DataFrame) -> DataFrame:
-    """The rows with their base spans and ``_p_context``; only found identifiers are joined on."""
-    tokens = identifiers(docs)
-    more = stable(context_spans(tokens, patterns(tokens))).withColumnsRenamed({"id": "_p_id", "key": "_p_key"})
-    based = with_base(docs)
-    return based.join(more, based["doc_id"].eqNullSafe(more["_p_id"]) & (F.xxhash64("_p_text") == more["_p_key"]), "left").withColumn(
-        "_p_context", F.coalesce("_p_context", F.array().cast(_SPAN)))
+    return stable(hits.groupBy(F.col("id").alias("_p_id"), F.col("key").alias("_p_key")).agg(F.sort_array(F.collect_set(F.struct(
+        F.lit(len(KINDS)).alias("kind"), "start", "end", "value"))).alias("_p_context")))
 
 
 def _listed(spans: Column) -> Column:
@@ -182,30 +218,43 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _with_context(rows: DataFrame, found: DataFrame, key: Column) -> DataFrame:
+    ident = rows["id"] if "id" in rows.columns else rows["doc_id"]
+    joined = rows.join(found, ident.eqNullSafe(found["_p_id"]) & (key == found["_p_key"]), "left")
+    return joined.withColumn("_p_context", F.coalesce("_p_context", F.array().cast(_SPAN)))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of the base kinds, base_sha256, spans (kind:start:end by kind, then start)."""
-    df = with_spans(docs.select("doc_id", "text"))
+    rows = scanned(docs)
+    df = _with_context(rows, context_spans(rows), F.col("key"))
     base = F.concat(*[F.col(f"_p_{k}") for k in KINDS])
-    return df.select("doc_id", *[F.size(f"_p_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
+    return df.select(F.col("id").alias("doc_id"), *[F.size(f"_p_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
                      F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
                      _listed(F.concat(base, F.col("_p_context"))).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span (overlapping ones merged) replaced by ``[PII]``; a null text stays null."""
-    df = with_spans(docs).withColumn("_p_all", F.sort_array(F.transform(
-        F.concat(*[F.col(f"_p_{k}") for k in KINDS], F.col("_p_context")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    text = F.col("_p_text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when((s["start"] >= acc["at"]) & ((acc["at"] == 0) | (s["start"] > acc["at"]) | ~F.endswith(acc["out"], F.lit("[PII]"))), "[PII]").otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    clean = F.aggregate("_p_all", zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    new = F.when(F.size("_p_all") > 0, clean).otherwise(F.col("text"))
-    return df.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """The documents with every span (overlapping or adjoining ones merged) replaced by ``[PII]``; a null text stays null.
+
+    Only texts with a digit or @ can hold a span: the others pass straight through, without a join.
+    """
+    found = context_spans(scanned(docs))
+    may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
+    df = _with_context(with_base(docs.where(may)), found, F.xxhash64("_p_text")).drop("_p_id", "_p_key")
+    spans = F.sort_array(F.transform(F.concat(*[F.col(f"_p_{k}") for k in KINDS], F.col("_p_context")), lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"))))
+    df = _settled(df, _p_all=spans).drop(*[f"_p_{k}" for k in KINDS], "_p_context")
+    some = F.size("_p_all") > 0
+    df = _settled(df, _p_chars=F.when(some, F.split("_p_text", "")).otherwise(F.array().cast(_TEXTS)), _l_end=F.transform("_p_all", lambda s: s["end"]))
+    df = _settled(df, _p_far=_running("_l_end", F.greatest))
+    text = lambda start, end: F.array_join(F.slice("_p_chars", start + 1, F.greatest(end - start, F.lit(0))), "")
+    before = F.slice(F.concat(F.array(F.lit(0)), "_p_far"), 1, F.size("_p_far"))
+    marks = F.transform(F.arrays_zip(F.col("_p_all").alias("s"), before.alias("to")), lambda x, i: F.when(
+        (i == 0) | (x["s"]["start"] > x["to"]), F.concat(text(x["to"], x["s"]["start"]), F.lit("[PII]"))).otherwise(F.lit("")))
+    last = F.element_at("_p_far", -1)
+    clean = F.when(some, F.concat(F.array_join(marks, ""), text(last, F.length("_p_text")))).otherwise(F.col("text"))
+    return df.select(*[clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~may))
 
 
 def op9_pii(spark, sf_dir) -> DataFrame:
