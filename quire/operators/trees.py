@@ -495,25 +495,57 @@ def fit_booster(train: DataFrame, features: Sequence[str], label: str, key: str
     columns = {t: np.sort(rng.choice(width, _share(colsample_bytree, width), replace=False)) for t in range(n_estimators)}
     trees: list[Tree] = []
     values: list[np.ndarray] = []
-    fresh = 0
-    for t in range(n_estimators):
-        recent = rows.sparkSession.sparkContext.broadcast((trees[fresh:], values[fresh:]))
-
-        def stats(tree: int, b: pa.RecordBatch, recent=recent) -> np.ndarray:
-            h1, h2, y, margin = _columns_of(b, "h1", "h2", "y", "margin")
-            margin = _added(margin, _matrix(b, width), *recent.value)
-            return logistic_stats(margin, y, pos_weight, draw(h1, h2, line[tree]) < limit)
-
-        g = Growth(stats, rule, {t: columns[t]}, len(columns[t]), width, seed, max_depth or math.inf, num_leaves or math.inf)
-        tree = grow(rows, g, [t])[t]
-        trees.append(tree)
-        values.append(tree.values(rule, learning_rate))
-        if len(trees) - fresh == REFRESH:
+    fits_task = rows.count() <= LOCAL_ROWS
+    while len(trees) < n_estimators:
+        fresh, rounds = len(trees), min(REFRESH, n_estimators - len(trees))
+        at = range(fresh, fresh + rounds)
+
+        def growth(t: int, stats: Callable) -> Growth:
+            return Growth(stats, rule, {t: columns[t]}, len(columns[t]), width, seed, max_depth or math.inf, num_leaves or math.inf)
+
+        def stats_of(t: int, h1, h2, y, margin) -> np.ndarray:
+            return logistic_stats(margin, y, pos_weight, draw(h1, h2, line[t]) < limit)
+
+        if fits_task:
+            trees += _boost_here(rows, list(at), growth, stats_of, rule, learning_rate, width)
+            values += [tree.values(rule, learning_rate) for tree in trees[fresh:]]
+        for t in [] if fits_task else at:
+            recent = rows.sparkSession.sparkContext.broadcast((trees[fresh:], values[fresh:]))
+
+            def stats(tree: int, b: pa.RecordBatch, recent=recent) -> np.ndarray:
+                h1, h2, y, margin = _columns_of(b, "h1", "h2", "y", "margin")
+                return stats_of(tree, h1, h2, y, _added(margin, _matrix(b, width), *recent.value))
+
+            trees.append(grow(rows, growth(t, stats), [t])[t])
+            values.append(trees[-1].values(rule, learning_rate))
+        if len(trees) < n_estimators:
             rows = _refreshed(rows, trees[fresh:], values[fresh:], width)
-            fresh = len(trees)
     return Ensemble(list(features), cuts, trees, values, "logistic")
 
 
+def _boost_here(rows: DataFrame, at: list[int], growth: Callable, stats_of: Callable, rule: Rule, rate: float, width: int) -> list[Tree]:
+    """Several rounds in the one task that holds all rows (at most ``LOCAL_ROWS``); each round as ``grow`` would take it."""
+    import pickle
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("h1", "h2", "bins", "y")]).combine_chunks()
+        h1, h2, y, margin = [group.column(c).to_numpy() for c in ("h1", "h2", "y", "margin")]
+        bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), dtype=np.uint8).reshape(group.num_rows, width)
+        out = []
+        for t in at:
+            stats = stats_of(t, h1, h2, y, margin)
+            used = np.flatnonzero(stats[:, 2] > 0)
+            g = growth(t, None)
+            enough = len(used) > 1 and len(used) >= 2 * rule.min_rows
+            tree = grow_here(bins[used], stats[used], rule, lambda n: g.node_columns(t, n), g.depth if enough else 0, g.leaves)
+            margin = _added(margin, bins, [tree], [tree.values(rule, rate)])
+            out.append(tree)
+        return pa.table({"grown": pa.array([pickle.dumps(out)], pa.binary())})
+
+    got = rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, "grown binary").collect()
+    return pickle.loads(got[0]["grown"]) if got else []
+
+
 def _added(margin: np.ndarray, bins: np.ndarray, trees: list[Tree], values: list[np.ndarray]) -> np.ndarray:
     margin = margin.copy()
     for tree, value in zip(trees, values):
