@@ -8,7 +8,8 @@ texts, ``NAMES`` the names of licences, alone or after ``OPENINGS``. Each other
 stretch between cuts is an unknown sentence. An SPDX line is a sentence with the identifiers of its expression.
 A licence rule is an ordered list of identifiers; it matches where its identifiers occur in that
 order with at most ``GAP`` unknown sentences between neighbours. Longer rules
-are tried first and use up their sentences. Row-wise work: no shuffle.
+are tried first and use up their sentences. Names joined by "and" or "or" after an opening give each of their licences; reserved rights
+count as proprietary only where nothing else is found. Row-wise work: no shuffle.
 
 Defined results: null or empty texts have no licence; repeated rows get the same
 answer; an empty table gives no rows; other columns are never read.
@@ -142,8 +143,9 @@ def _known() -> dict:
                 put(root, f, i)
                 put(root, f"the {f}", i)
     ends(names)
-    under = {**names, "a": names, "an": names, "the": {**names, "terms": {"of": {**names, "the": names}}}, "terms": {"of": {**names, "the": names}}}
-    openings = [f"{s} {v}" for s in SUBJECTS for v in VERBS] + ["license", "license osi approved"]
+    some = {**names, "a": names, "an": names, "the": {**names, "terms": {"of": {**names, "the": names}}}, "terms": {"of": {**names, "the": names}}}
+    under = {**some, "either": {**some, "of": some}, "both": some}
+    openings = [f"{s} {v}" for s in SUBJECTS for v in VERBS] + [f"{s} under" for s in SUBJECTS if s.endswith((" is", " are"))] + ["license", "license osi approved"]
     for o in sorted(openings, key=lambda o: -len(o.split())):
         put(root, o, then=under)
     for i, forms in SENTENCES.items():
@@ -154,22 +156,31 @@ def _known() -> dict:
                 tree[w] = dict(tree.get(w, {}))
                 tree = tree[w]
             tree[None] = i
-    return root
+    return root, some
 
 
-KNOWN = _known()
+KNOWN, LISTED = _known()
+#: Identifier of a name -> its licence.
+LICENCE_OF = {IDENTIFIER.get(n, f"{n.lower()}-name"): n for n in NAMES}
 
 
 def _longest(text: str, cuts: list[tuple[int, int]], k: int, start: int) -> tuple[int, str] | None:
-    """(last stretch, identifier) of the longest known sentence that begins at ``start`` of stretch k."""
-    tree, best = KNOWN, None
+    """(last stretch, identifier) of the longest known sentence that begins at ``start`` of stretch k.
+
+    After a licence's name "and" or "or" may lead to another name: the identifier is then a list of names.
+    """
+    states, best = [(KNOWN, "")], None
     for j in range(k, len(cuts)):
         for w in words(text, start if j == k else cuts[j][0], cuts[j][1]):
-            tree = tree.get(w)
-            if tree is None:
+            ahead = [(tree[w], held) for tree, held in states if w in tree]
+            if w in ("and", "or"):
+                ahead += [(LISTED, f"{held} {tree[None]}") for tree, held in states if tree.get(None) in LICENCE_OF]
+            if not ahead:
                 return best
-        if None in tree:
-            best = j, tree[None]
+            states = ahead
+        ended = [f"list{held} {tree[None]}" if held else tree[None] for tree, held in states if None in tree and (not held or tree[None] in LICENCE_OF)]
+        if ended:
+            best = j, ended[0]
     return best
 
 
@@ -204,6 +215,7 @@ def match(found: list[tuple[int, int, str | None]], rules=RULES, gap: int = GAP)
     used, out = set(), []
     there = {found[k][2] for k in known}
     out += [(found[k][0], found[k][1], name) for k in known if found[k][2].startswith("spdx ") for name in found[k][2].split()[1:]]
+    out += [(found[k][0], found[k][1], LICENCE_OF[i]) for k in known if found[k][2].startswith("list ") for i in found[k][2].split()[1:]]
     for name, ids in sorted((r for r in rules if there.issuperset(r[1])), key=lambda r: -len(r[1])):
         for k, first in enumerate(known):
             chain, at = [], k
@@ -218,7 +230,8 @@ def match(found: list[tuple[int, int, str | None]], rules=RULES, gap: int = GAP)
             if chain:
                 used.update(chain)
                 out.append((found[first][0], found[chain[-1]][1], name))
-    return sorted(out)
+    # "All rights reserved" beside a licence says nothing of its own.
+    return sorted(x for x in out if x[2] != "Proprietary" or all(y[2] == "Proprietary" for y in out))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -452,6 +452,11 @@ GPL_TEXT = """ * This program is free software: you can redistribute it and/or m
     ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy */", ["MPL-2.0"]),
     ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", ["ISC"]),
     ("## License\n\nMIT", ["MIT"]), ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+    ("Dual licensed under MIT and Apache-2.0.", ["Apache-2.0", "MIT"]), ("License: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+    ("This project is licensed under either of MIT or Apache 2.0.", ["Apache-2.0", "MIT"]), ("The code is under MIT license", ["MIT"]),
+    ("Distributed under the terms of the MIT license and the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+    ("Copyright 2020 X. All rights reserved. Licensed under the MIT license.", ["MIT"]), ("Copyright 2020 X. All rights reserved.", ["Proprietary"]),
+    ("Licensed under GPL v2 or MIT.", ["GPL-2.0", "MIT"]), ("Licensed under MIT or else.", []), ("Licensed under the GNU GPL v2 or later and MIT", ["GPL-2.0", "MIT"]),
     ("The MIT campus. We went to MIT.\nMIT\nA general public license is a text.", []),
 ])
 def test_license_texts(text, want):
