@@ -230,7 +230,13 @@ def _fit_easy_ensemble(spec, train, features, label):
     return trees.fit_easy_ensemble(train, features, label, spec.key, seed=SEED, **_picked(spec.params, ("n_estimators", "rounds"), spec.name))
 
 
+def _fit_extra_trees(spec, train, features, label):
+    return trees.fit_extra_trees(train, features, label, seed=SEED, **_picked(
+        spec.params, ("n_estimators", "max_depth", "min_samples_leaf", "max_features"), spec.name))
+
+
 FITTERS = {
+    "extra_trees": _fit_extra_trees,
     "logistic_regression": _fit_logistic,
     "svm": _fit_svm,
     "random_forest": _fit_random_forest,

@@ -28,9 +28,31 @@ from quire.operators.linalg import fix_signs, gram_stats, sym_eig_desc
 from quire.operators.reducers.base import ProjectionModel, choose_k, kinds_and_categories, names
 
 
+def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The closest non-decreasing sequence (weighted squares): neighbours out of order are pooled to their mean."""
+    pools: list[list[float]] = []  # mean, weight, length
+    for v, w in zip(values, weights):
+        pools.append([float(v), float(w), 1])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            v2, w2, n2 = pools.pop()
+            v1, w1, n1 = pools.pop()
+            pools.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
+    return np.concatenate([np.full(int(n), v) for v, _, n in pools]) if pools else np.zeros(0)
+
+
+def monotone(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The closest monotone sequence, rising or falling, whichever is nearer (rising on ties)."""
+    up, down = pool_adjacent(values, weights), -pool_adjacent(-values, weights)
+    cost = [float(weights @ (x - values) ** 2) for x in (up, down)]
+    return up if cost[0] <= cost[1] else down
+
+
 def als_quantify(n: int, s: np.ndarray, g: np.ndarray, p_num: int, blocks: list[list[int]],
-                 quants: list[np.ndarray], max_iter: int = 50, tol: float = 1e-4):
-    """Run the ALS loop on Gram statistics; returns (quantifications, iterations)."""
+                 quants: list[np.ndarray], max_iter: int = 50, tol: float = 1e-4, ordered: bool = False):
+    """Run the ALS loop on Gram statistics; returns (quantifications, iterations).
+
+    With ``ordered`` each step takes the closest quantification that is monotone in the order of the categories.
+    """
     p_b = len(s)
 
     def t_matrix(qs):
@@ -60,6 +82,8 @@ def als_quantify(n: int, s: np.ndarray, g: np.ndarray, p_num: int, blocks: list[
             nq = q.copy()
             hit = counts > 0
             nq[hit] = proj[rows][hit] / counts[hit] - offset
+            if ordered:
+                nq[hit] = monotone(nq[hit], counts[hit])
             if hit.any():
                 max_change = max(max_change, float(np.max(np.abs(nq[hit] - q[hit]))))
             new.append(nq)
@@ -72,7 +96,7 @@ def als_quantify(n: int, s: np.ndarray, g: np.ndarray, p_num: int, blocks: list[
 class CATPCAReducer:
     def __init__(self, n_components: int | None = None, variance_target: float = 0.85,
                  max_components: int = 50, max_iter: int = 50, tol: float = 1e-4,
-                 categorical_threshold: int = 10, prefix: str = "catpca"):
+                 categorical_threshold: int = 10, prefix: str = "catpca", ordered: bool = False):
         self.n_components = n_components
         self.variance_target = variance_target
         self.max_components = max_components
@@ -80,6 +104,7 @@ class CATPCAReducer:
         self.tol = tol
         self.categorical_threshold = categorical_threshold
         self.prefix = prefix
+        self.ordered = ordered
         self.iterations = 0
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str | None = None) -> ProjectionModel:
@@ -97,7 +122,7 @@ class CATPCAReducer:
             exprs += [indicator(c, v) for v, _ in vals]
         n, s, g = gram_stats(df, exprs)
         quants, self.iterations = als_quantify(n, s, g, len(numeric), blocks, quants,
-                                               self.max_iter, self.tol)
+                                               self.max_iter, self.tol, self.ordered)
         # final standardisation + PCA on the quantified matrix
         p_num = len(numeric)
         t = np.zeros((len(s), p_num + len(blocks)))

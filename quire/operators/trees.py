@@ -127,17 +127,31 @@ class Rule:
         a, b, n = s[..., 0], s[..., 1], s[..., 2]
         if self.newton:
             return np.square(np.maximum(np.abs(a) - self.l1, 0.0)) / np.maximum(b + self.l2, 1e-12)
-        return (a * a + b * b) / np.maximum(n, 1e-12)
+        return (a * a + b * b) / np.maximum(a + b, 1e-12)
 
     def leaf(self, s: np.ndarray) -> float:
         a, b, n = s
         if self.newton:
             return float(-np.sign(a) * max(abs(a) - self.l1, 0.0) / max(b + self.l2, 1e-12))
-        return float(b / n) if n else 0.0
+        return float(b / (a + b)) if a + b else 0.0
 
 
-def best_split(hist: np.ndarray, rule: Rule):
-    """(gain, feature number, last byte on the left, left sums, right sums) of a (features, BINS, 3) histogram, or None."""
+def random_cuts(hist: np.ndarray, seed: Sequence[int]) -> np.ndarray:
+    """One cut for each feature between its smallest and largest byte in the node, as a mask over all cuts."""
+    held = hist[..., 2] > 0
+    low, high = held.argmax(axis=1), BINS - 1 - held[:, ::-1].argmax(axis=1)
+    share = np.random.default_rng(list(seed)).random(len(hist))
+    out = np.zeros((len(hist), BINS - 1), dtype=bool)
+    some = high > low
+    out[np.flatnonzero(some), (low + share * (high - low)).astype(int)[some]] = True
+    return out
+
+
+def best_split(hist: np.ndarray, rule: Rule, seed: Sequence[int] | None = None):
+    """(gain, feature number, last byte on the left, left sums, right sums) of a (features, BINS, 3) histogram, or None.
+
+    With ``seed`` each feature has a single cut, drawn at random.
+    """
     left = hist.cumsum(axis=1)
     total = left[0, -1]
     left = left[:, :-1]
@@ -145,6 +159,8 @@ def best_split(hist: np.ndarray, rule: Rule):
     ok = (left[..., 2] >= rule.min_rows) & (right[..., 2] >= rule.min_rows)
     if rule.newton:
         ok &= (left[..., 1] >= rule.min_hessian) & (right[..., 1] >= rule.min_hessian)
+    if seed is not None:
+        ok &= random_cuts(hist, seed)
     gain = np.where(ok, rule.worth(left) + rule.worth(right) - rule.worth(total), -np.inf)
     # Equal but for the last digits counts as equal: sums may come in any order.
     best = gain.max()
@@ -229,14 +245,15 @@ class Tree:
         return np.array([rate * rule.leaf(s) for s in self.sums])
 
 
-def grow_here(bins: np.ndarray, stats: np.ndarray, rule: Rule, columns: Callable[[int], np.ndarray], depth: float, leaves: float) -> Tree:
-    """A tree over rows held in one task, the leaf of largest gain first."""
+def grow_here(bins: np.ndarray, stats: np.ndarray, rule: Rule, columns: Callable[[int], np.ndarray], depth: float, leaves: float,
+              seed: Callable[[int], Sequence[int] | None] = lambda node: None) -> Tree:
+    """A tree over rows held in one task, the leaf of largest gain first; ``seed(node)`` draws random cuts, if any."""
     tree, held, heap = Tree(), {}, []
 
     def open_(node: int, rows: np.ndarray) -> None:
         if tree.depth[node] < depth and len(rows) > 1:
             own = columns(node)
-            found = best_split(histogram(bins[rows], stats[rows], own), rule)
+            found = best_split(histogram(bins[rows], stats[rows], own), rule, seed(node))
             if found:
                 held[node] = rows
                 heapq.heappush(heap, (-found[0], node, (found[0], int(own[found[1]]), *found[2:])))
@@ -270,6 +287,10 @@ class Growth:
     seed: int
     depth: float = math.inf
     leaves: float = math.inf
+    random: bool = False
+
+    def cut_seed(self, tree: int, node: int) -> list[int] | None:
+        return [self.seed, tree, node, 3] if self.random else None
 
     def node_columns(self, tree: int, node: int) -> np.ndarray:
         return node_columns(self.seed, tree, node, self.columns[tree], self.per_node)
@@ -318,7 +339,7 @@ def _splits(rows: DataFrame, g: Growth, grown: dict[int, Tree], open_: dict[int,
             for t, node, raw in zip(*[b.column(c).to_pylist() for c in ("tree", "node", "hist")]):
                 h = np.frombuffer(raw).reshape(-1, BINS, 3)
                 total[t, node] = total[t, node] + h if (t, node) in total else h
-        out = [(t, node, best_split(h, g.rule)) for (t, node), h in total.items()]
+        out = [(t, node, best_split(h, g.rule, g.cut_seed(t, node))) for (t, node), h in total.items()]
         out = [(t, node, s[0], int(g.node_columns(t, node)[s[1]]), s[2], s[3].tolist(), s[4].tolist()) for t, node, s in out if s]
         if out:
             names = ["tree", "node", "gain", "feature", "cut", "lsums", "rsums"]
@@ -354,7 +375,8 @@ def _finish(rows: DataFrame, g: Growth, grown: dict[int, Tree], small: dict[int,
         group = group.sort_by([(c, "ascending") for c in ("bins", "s0", "s1", "s2")]).combine_chunks()
         bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), dtype=np.uint8).reshape(group.num_rows, g.width)
         stats = np.stack([group.column(f"s{k}").to_numpy() for k in range(3)], axis=1)
-        sub = grow_here(bins, stats, g.rule, lambda n: g.node_columns(t, (node << 20) + n), g.depth - grown_depth[t, node], g.leaves)
+        sub = grow_here(bins, stats, g.rule, lambda n: g.node_columns(t, (node << 20) + n), g.depth - grown_depth[t, node], g.leaves,
+                        lambda n: g.cut_seed(t, (node << 20) + n))
         return pa.table({"tree": pa.array([t], pa.int32()), "node": pa.array([node], pa.int32()), "grown": pa.array([pickle.dumps(sub)], pa.binary())})
 
     grown_depth = {(t, n): grown[t].depth[n] for t, nodes in small.items() for n in nodes}
@@ -475,6 +497,29 @@ def fit_balanced_forest(train: DataFrame, features: Sequence[str], label: str, k
     return Ensemble(list(features), cuts, trees, [t.values(rule) for t in trees], "mean")
 
 
+def fit_extra_trees(train: DataFrame, features: Sequence[str], label: str, n_estimators: int = 500, max_depth: int | None = None,
+                    min_samples_leaf: int = 1, max_features="sqrt", seed: int = 42) -> Ensemble:
+    """Trees over all rows with balanced class weights, whose nodes choose among random cuts."""
+    cuts = quantile_cuts(train, features)
+    rows = binned(train, features, label, cuts, None)
+    n0, n1 = _class_counts(rows)
+    w0, w1 = ((n0 + n1) / (2 * max(n, 1)) for n in (n0, n1))
+
+    def stats(tree: int, b: pa.RecordBatch) -> np.ndarray:
+        y = b.column("y").to_numpy()
+        return np.stack([w0 * (y == 0), w1 * (y == 1), np.ones(len(y))], axis=1)
+
+    width = len(features)
+    rule, per_node = Rule(min_rows=float(min_samples_leaf)), _share(max_features, width)
+    g = Growth(stats, rule, {t: np.arange(width) for t in range(n_estimators)}, per_node, width, seed, depth=max_depth or math.inf, random=True)
+    group = max(1, ROUND_CELLS // (per_node * BINS * 3 * 32))
+    grown: dict[int, Tree] = {}
+    for s in range(0, n_estimators, group):
+        grown |= grow(rows, g, list(range(s, min(n_estimators, s + group))))
+    trees = [grown[t] for t in sorted(grown)]
+    return Ensemble(list(features), cuts, trees, [t.values(rule) for t in trees], "mean")
+
+
 def logistic_stats(margin: np.ndarray, y: np.ndarray, pos_weight: float, used: np.ndarray) -> np.ndarray:
     """Gradient, hessian and count of the weighted logistic loss, zero for rows not drawn."""
     p = 1 / (1 + np.exp(-margin))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from quire.operators import categories as C
 from quire.operators.hellinger import hellinger_scores
 from quire.operators.profile import impute_most_frequent, one_hot
+from quire.operators.reducers.catpca import CATPCAReducer
 from quire.operators.reducers.famd import FAMDReducer
 from quire.operators.reducers.mca import MCAReducer
+from quire.operators.target_stats import ordered_target_means
 from quire.plans.cohort import KEY, LABEL, labelled_cohort
 from quire.sources.tables import read_table
 
@@ -69,7 +71,21 @@ def q_text_modes(spark, sf_dir):
     return impute_most_frequent(orders, list(modes), modes).groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_catpca_one_step(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = CATPCAReducer(n_components=1, max_iter=1).fit(docs, TEXTS)
+    rows = [(c, v, round(float(q), 6) + 0.0) for c, vals in model.quantifications.items() for v, q in vals.items()]
+    return spark.createDataFrame(rows, "column string, value string, quantification double")
+
+
+def q_ordered_target_statistics(spark, sf_dir):
+    out = ordered_target_means(_labelled(spark, sf_dir), TEXTS, LABEL, KEY)
+    return out.select(KEY, *[F.round(f"{c}_target", 6).alias(f"{c}_target") for c in TEXTS])
+
+
 QUERIES = {
+    "catpca_one_step": q_catpca_one_step,
+    "ordered_target_statistics": q_ordered_target_statistics,
     "hellinger_mixed": q_hellinger_mixed,
     "famd_matrix": q_famd_matrix,
     "mca_matrix": q_mca_matrix,
@@ -83,6 +99,24 @@ _INDICATORS = """cells AS (SELECT doc_id, 'lang=' || lang AS input, 'lang' AS "c
   UNION ALL SELECT doc_id, 'source=' || source, 'source' FROM documents WHERE source IS NOT NULL)"""
 
 SQL = {
+    "catpca_one_step": """
+WITH l AS (SELECT lang AS v, row_number() OVER (ORDER BY lang) - 1 AS c FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+s AS (SELECT source AS v, row_number() OVER (ORDER BY source) - 1 AS c FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+x AS (SELECT d.lang, d.source, coalesce(l.c, 0)::DOUBLE AS a, coalesce(s.c, 0)::DOUBLE AS b
+  FROM documents d LEFT JOIN l ON l.v = d.lang LEFT JOIN s ON s.v = d.source),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, sign(covar_pop(a, b)) AS r FROM x),
+z AS (SELECT lang, source, ((a - ma) / sa + CASE WHEN r < 0 THEN -1 ELSE 1 END * (b - mb) / sb) / sqrt(2.0) AS score FROM x, m)
+SELECT 'lang' AS "column", lang AS value, round(avg(score), 6) + 0.0 AS quantification FROM z WHERE lang IS NOT NULL GROUP BY lang
+UNION ALL SELECT 'source', source, round(avg(score), 6) + 0.0 FROM z WHERE source IS NOT NULL GROUP BY source""",
+    "ordered_target_statistics": """
+WITH c AS (SELECT l.doc_id, CAST(l.toxic AS INTEGER) AS y, d.lang, d.source, md5(concat_ws('|', '42', 'order', CAST(l.doc_id AS VARCHAR))) AS h
+  FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IN (0, 1)),
+p AS (SELECT avg(y::DOUBLE) AS prior FROM c)
+SELECT doc_id,
+  round((coalesce(sum(y) OVER lw, 0) + prior) / (count(y) OVER lw + 1), 6) AS lang_target,
+  round((coalesce(sum(y) OVER sw, 0) + prior) / (count(y) OVER sw + 1), 6) AS source_target
+FROM c, p WINDOW lw AS (PARTITION BY lang ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  sw AS (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "hellinger_mixed": """
 WITH c AS (SELECT l.doc_id, CAST(l.toxic AS INTEGER) AS y, d.lang, d.source, CAST(d.n_chars AS DOUBLE) AS x
   FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IN (0, 1)),

@@ -157,8 +157,12 @@ class ExperimentResult:
 
 def run_experiment(cohort: DataFrame, features: list[str], key: str, label: str, dr_config=None,
                    models: list[str] | None = None, n_trials: int | None = None,
-                   skip_tuning: bool = True, cv_folds: int = 5) -> ExperimentResult:
-    """Split → preprocess/reduce → (tune) → CV → test; results as DataFrames."""
+                   skip_tuning: bool = True, cv_folds: int = 5, out_dir: str | None = None) -> ExperimentResult:
+    """Split → preprocess/reduce → (tune) → CV → test; results as DataFrames.
+
+    With ``out_dir`` the frames go to ``data/method=…/split=…`` and the results to ``<method>/`` in the layout that
+    ``sources.results.load_results`` reads.
+    """
     from functools import reduce
     from quire.operators.models import MODEL_NAMES, build_model, positive_weight
     from quire.operators.reducers import build_pipeline
@@ -176,7 +180,7 @@ def run_experiment(cohort: DataFrame, features: list[str], key: str, label: str,
         if not skip_tuning:
             params, _ = tune(name, train, feats, label, key, n_trials)
         best[name] = params
-        spec = build_model(name, params, spw)
+        spec = build_model(name, params, spw, key)
         cv_rows.append(cross_validate(spec, train, feats, label, key, k=cv_folds))
         _, rec = score_model(spec, train, test, feats, label, key)
         test_rows.append(rec)
@@ -193,27 +197,62 @@ def run_experiment(cohort: DataFrame, features: list[str], key: str, label: str,
         "dr_method string, n_train long, n_test long, ap_train long, ap_test long, "
         "n_features_after_dr long, n_features_before_dr long, cv_folds long, "
         "cumulative_variance_explained double, skip_tuning boolean, models array<string>")
-    return ExperimentResult(test_df, cv_df, summary, best)
+    result = ExperimentResult(test_df, cv_df, summary, best)
+    if out_dir:
+        save_experiment(result, split, out_dir, output_folder_name(dr_config), key, label)
+    return result
+
+
+def save_experiment(result: ExperimentResult, split: PreprocessedSplit, out_dir: str, method: str, key: str, label: str) -> None:
+    """Writes frames, test and cross-validation results and the summary of one method."""
+    from quire.sources.sinks import write_json_record, write_split, write_table
+    frames = {"train": split.train, "test": split.test}
+    if split.model.reducer is not None:
+        frames |= {"train_reduced": split.train_reduced, "test_reduced": split.test_reduced}
+    write_split(frames, f"{out_dir.rstrip('/')}/data", method, key, label)
+    base = f"{out_dir.rstrip('/')}/{method}"
+    write_table(result.test_results, f"{base}/model_results.csv")
+    write_table(result.cv_results, f"{base}/cv_results.csv")
+    write_json_record(result.summary, f"{base}/experiment_summary.json")
 
 
 def sweep(cohort: DataFrame, features: list[str], key: str, label: str, methods: list,
-          models: list[str] | None = None, **kwargs) -> tuple[DataFrame | None, DataFrame | None, list]:
-    """Run every method; a failing method is reported and does not stop the rest.
+          models: list[str] | None = None, parallelism: int = 3, **kwargs) -> tuple[DataFrame | None, DataFrame | None, list]:
+    """Runs the methods side by side in one session; a failing method is reported and does not stop the rest.
 
-    Returns (test results, cv results) unioned with a ``method`` column, and
+    The cohort is held once for all of them. Every method is a job group of its own (so it can be seen and cancelled by name) in a
+    scheduler pool of its own (so that none waits behind another's jobs where the session's scheduler is fair).
+    Returns (test results, cv results) unioned with a ``method`` column in the order of ``methods``, and
     the list of (method, error) failures.
     """
+    from concurrent.futures import ThreadPoolExecutor
     from functools import reduce
+    from pyspark import StorageLevel, inheritable_thread_target
     from quire.operators.reducers.registry import output_folder_name
-    tests, cvs, failures = [], [], []
-    for m in methods:
-        name = output_folder_name(m)
+    sc = cohort.sparkSession.sparkContext
+    shared = cohort.select(key, label, *features).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(method):
+        name = str(method)
         try:
-            r = run_experiment(cohort, features, key, label, m, models, **kwargs)
-            tests.append(r.test_results.withColumn("method", F.lit(name)))
-            cvs.append(r.cv_results.withColumn("method", F.lit(name)))
-        except Exception as e:  # noqa: BLE001
-            failures.append((name, f"{type(e).__name__}: {e}"))
-    t = reduce(DataFrame.unionByName, tests) if tests else None
-    c = reduce(DataFrame.unionByName, cvs) if cvs else None
-    return t, c, failures
+            name = output_folder_name(method)
+            sc.setLocalProperty("spark.scheduler.pool", name)
+            sc.setJobGroup(f"sweep-{name}", f"experiment with {name}", interruptOnCancel=True)
+            r = run_experiment(shared, features, key, label, method, models, **kwargs)
+            tag = F.lit(name)
+            # Results are a row for each model: they are computed here, in the method's own pool.
+            frames = [df.withColumn("method", tag).persist() for df in (r.test_results, r.cv_results)]
+            for df in frames:
+                df.count()
+            return name, frames, None
+        except Exception as e:  # noqa: BLE001 - reported to the caller, the others go on
+            log.exception("method %s failed", name)
+            return name, None, f"{type(e).__name__}: {e}"
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        done = list(pool.map(inheritable_thread_target(cohort.sparkSession)(one), methods))
+    shared.unpersist()
+    held = [frames for _, frames, _ in done if frames]
+    tests, cvs = ([f[i] for f in held] for i in (0, 1))
+    return (reduce(DataFrame.unionByName, tests) if tests else None, reduce(DataFrame.unionByName, cvs) if cvs else None,
+            [(name, error) for name, _, error in done if error])
