@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
 from quire.operators.linalg import randomized_svd_long
-from quire.operators.text import term_counts, vocabulary
+from quire.operators.joins import spread_join
+from quire.operators.text import term_counts, vocabulary, weighted
 from quire.session import ensure_checkpoint_dir
 
 
@@ -23,7 +24,7 @@ from quire.session import ensure_checkpoint_dir
 class LSAModel:
     key: str
     text: str
-    idf: DataFrame                       # (term, idf)
+    idf: DataFrame                       # (term, df, idf)
     factor: DataFrame | None             # (term, f0…)
     singular_values: np.ndarray
     prefix: str = "lsa"
@@ -49,7 +50,7 @@ class LSAModel:
 
     def weights(self, df: DataFrame) -> DataFrame:
         tc = term_counts(df, self.key, self.text)
-        w = tc.join(self.idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+        w = weighted(tc, self.idf)
         norm = F.sqrt(F.sum(F.col("raw") ** 2).over(Window.partitionBy(self.key)))
         return w.select(self.key, "term", (F.col("raw") / norm).alias("w"))
 
@@ -57,7 +58,7 @@ class LSAModel:
         base = df.select(quote(self.key), *[quote(k) for k in keep if k != self.key])
         if not self.names:
             return base
-        scores = self.weights(df).join(self.factor, "term").groupBy(self.key).agg(
+        scores = spread_join(self.weights(df), self.factor.join(self.idf.select("term", "df"), "term"), "term", "df").groupBy(self.key).agg(
             *[F.sum(F.col("w") * F.col(f"f{j}")).alias(n) for j, n in enumerate(self.names)])
         return base.join(scores, self.key, "left").na.fill(0.0, subset=self.names)
 
@@ -77,7 +78,7 @@ class LSAReducer:
         tc = term_counts(df, key, text)
         n_docs = df.select(quote(key)).where(quote(key).isNotNull()).distinct().count()
         idf = vocabulary(tc, key, self.min_df, self.max_features).select(
-            "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")).checkpoint()
+            "term", "df", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")).checkpoint()
         model = LSAModel(key, text, idf, None, np.zeros(0), self.prefix)
         long = model.weights(df).checkpoint()
         if not long.isEmpty():

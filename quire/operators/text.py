@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.columns import quote
+from quire.operators.joins import spread_join
+from quire.session import ensure_checkpoint_dir
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -29,8 +31,9 @@ def term_counts(df: DataFrame, key: str, text: str, ngram_max: int = 2) -> DataF
     lambdas); each zipped pair yields its unigram and, unless it is the last
     token, its bigram.
     """
-    # explicit key filter: every consumer of the counts then has the same plan
-    toks = df.where(quote(key).isNotNull()).select(quote(key).alias(key), tokens(quote(text)).alias("_t"))
+    # Documents move to their key once, before their terms are spelt out; counting and norms then need no shuffle of terms.
+    toks = df.where(quote(key).isNotNull()).select(quote(key).alias(key), quote(text).alias("_x")).repartition(key).select(
+        key, tokens(F.col("_x")).alias("_t"))
     if ngram_max >= 2:
         t = F.col("_t")
         zipped = F.arrays_zip(t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1)))) \
@@ -53,14 +56,20 @@ def vocabulary(tc: DataFrame, key: str, min_df: int = 3, max_features: int | Non
     return v
 
 
+def weighted(tc: DataFrame, idf: DataFrame) -> DataFrame:
+    """(key, term, tf, idf, raw): counts times idf; terms that a large share of the documents hold are not shuffled."""
+    return spread_join(tc, idf, "term", "df").withColumn("raw", F.col("tf") * F.col("idf")).drop("df")
+
+
 def tfidf(df: DataFrame, key: str, text: str, min_df: int = 3, max_features: int | None = None,
           ngram_max: int = 2) -> DataFrame:
     """(key, term, tfidf) — sparse long form of the L2-normalised TF-IDF matrix."""
     tc = term_counts(df, key, text, ngram_max)
     n_docs = df.select(quote(key)).where(quote(key).isNotNull()).distinct().count()
     vocab = vocabulary(tc, key, min_df, max_features)
-    idf = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    w = tc.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    ensure_checkpoint_dir(df.sparkSession)
+    idf = vocab.select("term", "df", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")).checkpoint()
+    w = weighted(tc, idf)
     # per-document L2 norm as a window over the document's own terms
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("raw") / norm).alias("tfidf"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.operators.linalg import block_entries, gram_blocks
 from quire.operators.preprocess import Preprocessor
 from quire.operators.reducers import build_pipeline
 from quire.operators.reducers.catpca import CATPCAReducer
@@ -69,7 +70,16 @@ def q_lsa_documents(spark, sf_dir):
     return model.transform(d, keep=["doc_id"])
 
 
+def q_gram_entries(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    dims = [F.col("embedding")[i].cast("double") for i in range(64)]
+    # Small blocks, so that the 64 columns make ten of them.
+    _, _, blocks = gram_blocks(e, dims, block=16)
+    return block_entries(blocks, 64, block=16).select("i", "j", F.round("value", 4).alias("value"))
+
+
 QUERIES = {
+    "gram_entries": q_gram_entries,
     "pca_cohort": q_pca_cohort,
     "famd_cohort": q_famd_cohort,
     "catpca_cohort": q_catpca_cohort,
@@ -80,4 +90,8 @@ QUERIES = {
     "lsa_documents": q_lsa_documents,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "gram_entries": """
+WITH l AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding[1:64])::DOUBLE AS v FROM embeddings)
+SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 4) AS value FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
+}
