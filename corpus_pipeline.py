@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import dedup, packing, pii, quality, simhash
 from quire.llm.common import documents
-from quire.session import ensure_checkpoint_dir
+from quire.session import discard, ensure_checkpoint_dir
 from quire.sources.tables import read_table
 
 
@@ -42,7 +42,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each result is written as Parquet in the shared folder and read again."""
+    """All stages; each result is written as Parquet in the shared folder and read again, and removed once the next one is written."""
     import uuid
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
@@ -50,4 +50,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{base}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            discard(spark, f"{base}/{k - 1}")
     return docs
