@@ -95,3 +95,10 @@ def normalise_header_expr(c: Column) -> Column:
     """The same normalisation as a Column expression (for header tables)."""
     s = F.regexp_replace(F.lower(c), r"[^0-9a-z]+", "_")
     return F.regexp_replace(s, r"^_+|_+$", "")
+
+
+def leakage_columns(columns: Sequence[str] | DataFrame, words: Sequence[str]) -> list[str]:
+    """Headers that hold one of the words (whole words, any case): diagnosis details that would give the label away."""
+    names = columns.columns if isinstance(columns, DataFrame) else list(columns)
+    wanted = {w.lower() for w in words}
+    return [c for c in names if wanted & set(re.findall(r"[0-9a-z]+", c.lower()))]

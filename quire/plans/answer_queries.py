@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import coders as C
-from quire.functions.numeric import NUMERIC_PATTERN, lenient_double
-from quire.plans.clinical import INSTRUMENTS
+from quire.functions.columns import leakage_columns
+from quire.functions.numeric import NUMERIC_PATTERN, lenient_double, nan_to_zero
+from quire.operators.profile import drop_all_null_columns
+from quire.plans.clinical import DIAGNOSIS_WORDS, INSTRUMENTS, LEVELS, level_table
 from quire.plans.features import FeatureSpec, extract
 from quire.sources.tables import read_table
 
@@ -186,5 +188,51 @@ def _clinical_sql() -> str:
     return "SELECT instrument, doc_id, f.feature AS feature, f.value AS value FROM (" + " UNION ALL ".join(parts) + ")"
 
 
-QUERIES = {"coders_all": q_coders_all, "clinical_spec_demo": q_clinical_spec_demo}
-SQL = {"coders_all": _coders_sql(), "clinical_spec_demo": _clinical_sql()}
+# --------------------------------------------------------------------------- levels, leakage, cleaning
+
+TOP_LEVEL = 2
+
+
+def q_features_by_level(spark, sf_dir):
+    """What the instruments up to a level offer; the level table has one row for each instrument."""
+    levels = F.broadcast(level_table(spark).where(F.col("level") <= TOP_LEVEL))
+    return q_clinical_spec_demo(spark, sf_dir).join(levels, "instrument").groupBy("instrument", "level").agg(
+        F.count_distinct("feature").alias("n_features"), F.count("value").alias("n_values"))
+
+
+LEAKY = ["Diagnosis (PSP)", "MSA probable?", "Age", "Best set", "rbd_confirmed", "ET/tremor", "Planet"]
+
+
+def q_leakage_removed(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    wide = docs.select(KEY, *[_pick("numeric", i).alias(c) for i, c in enumerate(LEAKY)])
+    left = wide.drop(*leakage_columns(wide, DIAGNOSIS_WORDS))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v")) for c in left.columns if c != KEY])
+    return left.select(F.inline(pairs)).groupBy("column").agg(F.count("v").alias("n"))
+
+
+def q_cleaned_features(spark, sf_dir):
+    """All-null columns go, missing numbers become 0, and rows whose features are all 0 go."""
+    docs = _documents(spark, sf_dir)
+    numbers = [lenient_double(_pick("numeric", i)).alias(f"f{i}") for i in range(3)]
+    wide = docs.select(KEY, *numbers, F.lit(None).cast("double").alias("empty"))
+    kept = drop_all_null_columns(wide, ["f0", "f1", "f2", "empty"])
+    features = [c for c in kept.columns if c != KEY]
+    filled = kept.select(KEY, *[nan_to_zero(F.col(c)).alias(c) for c in features])
+    return filled.where(F.greatest(*[F.abs(c) for c in features]) > 0)
+
+
+QUERIES = {"coders_all": q_coders_all, "clinical_spec_demo": q_clinical_spec_demo, "features_by_level": q_features_by_level,
+           "leakage_removed": q_leakage_removed, "cleaned_features": q_cleaned_features}
+_LEVEL_ROWS = ", ".join(f"('{f}', {level})" for level, files in LEVELS.items() for f in files)
+_NUMBERS = [f"coalesce({_number_sql(_pick_sql('numeric', i))}, 0)" for i in range(3)]
+SQL = {
+    "coders_all": _coders_sql(), "clinical_spec_demo": _clinical_sql(),
+    "features_by_level": f"""WITH f AS ({_clinical_sql()}), l(instrument, level) AS (VALUES {_LEVEL_ROWS})
+SELECT instrument, CAST(level AS INTEGER) AS level, count(DISTINCT feature) AS n_features, count(value) AS n_values
+FROM f JOIN l USING (instrument) WHERE level <= {TOP_LEVEL} GROUP BY ALL""",
+    "leakage_removed": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({_pick_sql('numeric', LEAKY.index(c))}) AS n FROM documents WHERE doc_id IS NOT NULL" for c in ("Age", "Best set", "Planet")),
+    "cleaned_features": f"""SELECT * FROM (SELECT doc_id, {', '.join(f'{x} AS f{i}' for i, x in enumerate(_NUMBERS))} FROM documents WHERE doc_id IS NOT NULL)
+WHERE greatest(abs(f0), abs(f1), abs(f2)) > 0""",
+}

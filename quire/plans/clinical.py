@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.coders import label_map
-from quire.functions.columns import find_case_sensitive, quote
+from quire.functions.columns import find_case_sensitive, leakage_columns, quote
 from quire.operators.assemble import assemble
 from quire.operators.profile import non_empty_columns
 from quire.plans.features import FeatureSpec as S
@@ -177,6 +177,26 @@ INSTRUMENTS = [
     ("neuropsychological_capri.csv", NEUROPSYCH),
 ]
 ENROLMENT = "enrollement.csv"
+# Words of diagnosis details, and the (provisional) level at which an instrument can be collected.
+DIAGNOSIS_WORDS = ["psp", "msa", "cbs", "dlb", "et", "rbd"]
+LEVELS = {
+    1: ["demographic.csv", "epidemiological.csv"],
+    2: ["apathy_scale.csv", "bai.csv", "bdii.csv", "fatigue_severity_scale.csv", "pdq_8.csv", "pdq_39.csv", "scopa.csv",
+        "parkinson_severity_scale.csv", "schwab___england.csv", "ehi.csv", "mbic.csv", "mbic_capri.csv"],
+    3: ["moca.csv", "mds-updrs.csv", "updrs_1.csv", "timed_up_go.csv", "medication.csv", "clinical.csv"],
+    4: ["neuropsychological.csv", "neuropsychological_capri.csv"],
+}
+
+
+def level_table(spark: SparkSession) -> DataFrame:
+    """(instrument, level): one row for each instrument."""
+    return spark.createDataFrame([(f, level) for level, files in LEVELS.items() for f in files], "instrument string, level int")
+
+
+def instruments_up_to(level: int) -> list:
+    """The instruments whose level is at most ``level``, in the order of the specification."""
+    held = {f for k, files in LEVELS.items() if k <= level for f in files}
+    return [(f, specs) for f, specs in INSTRUMENTS if f in held]
 
 
 def load_cohort(spark: SparkSession, data_dir: str, on_conflict: str = "first_table",
@@ -195,6 +215,7 @@ def load_cohort(spark: SparkSession, data_dir: str, on_conflict: str = "first_ta
         raw = read_keyed_csv(spark, f"{base}/{fname}")
         if raw is None or KEY not in raw.columns:
             continue
+        raw = raw.drop(*leakage_columns(raw, DIAGNOSIS_WORDS))
         tables.append(extract(raw, specs, KEY))
     master = assemble(cohort, tables, KEY, on_conflict=on_conflict)
     feats = [c for c in master.columns if c not in (KEY, LABEL)]

@@ -92,8 +92,12 @@ def cross_validate(spec, train: DataFrame, features, label: str, key: str, k: in
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         parts = list(pool.map(one, range(k)))
+    # k rows of metrics: the summary is written before the folds are released.
     per_fold = reduce(DataFrame.unionByName, parts)
-    return fold_summary(per_fold, METRICS + ["auc_roc"]).withColumn("model", F.lit(spec.name))
+    summary = fold_summary(per_fold, METRICS + ["auc_roc"]).withColumn("model", F.lit(spec.name)).checkpoint()
+    for part in [*parts, folded]:
+        part.unpersist()
+    return summary
 
 
 def tune(name: str, train: DataFrame, features, label: str, key: str, n_trials: int | None = None,

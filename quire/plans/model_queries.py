@@ -57,7 +57,13 @@ def q_experiment_pca(spark, sf_dir):
     return r.test_results
 
 
+def q_experiment_summary(spark, sf_dir):
+    """The summary record of a run: counts, dimensions, folds and explained variance as they were."""
+    return run_experiment(cohort_features(spark, sf_dir), FEATURES, KEY, LABEL, "famd", models=["logistic_regression"], cv_folds=3).summary
+
+
 QUERIES = {
+    "experiment_summary": q_experiment_summary,
     "model_logistic_regression": _test_metrics("logistic_regression"),
     "model_svm": _test_metrics("svm"),
     "model_random_forest": _test_metrics("random_forest"),
@@ -66,6 +72,7 @@ QUERIES = {
     "model_xgboost": _test_metrics("xgboost"),
     "model_mlp": _test_metrics("mlp"),
     "model_easy_ensemble": _test_metrics("easy_ensemble"),
+    "model_extra_trees": _test_metrics("extra_trees"),
     "logistic_predictions": q_logistic_predictions,
     "logistic_cv": q_logistic_cv,
     "logistic_tuning": q_logistic_tuning,

@@ -34,8 +34,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a scratch folder is created.
+    ``spark.checkpoint.dir`` is read from the session; only when it is unset in a
+    local session (tests) a scratch folder is created. On a cluster an unset folder is an error: a
+    machine-local one would lose the data of other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -43,12 +44,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quire-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate folder of the shared checkpoint folder."""
+    shared = ensure_checkpoint_dir(spark).rstrip("/") + "/"
+    if not path.startswith(shared):
+        raise ValueError(f"{path} is not below {shared}")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -34,23 +34,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def pandas_style_names(header: list[str | None]) -> list[str]:
-    """Duplicate headers become ``name``, ``name.1``, ``name.2`` (first keeps the name)."""
-    seen: dict[str, int] = {}
+    """Duplicate headers become ``name``, ``name.1``, ``name.2`` (first keeps the name).
+
+    Spark resolves names in any case, so headers that differ in case alone count as duplicates too.
+    """
+    taken: set[str] = set()
     out = []
     for i, h in enumerate(header):
-        name = h if h not in (None, "") else f"Unnamed: {i}"
-        if name in seen:
-            k = seen[name]
-            cand = f"{name}.{k}"
-            while cand in seen:
-                k += 1
-                cand = f"{name}.{k}"
-            seen[name] = k + 1
-            seen[cand] = 1
-            out.append(cand)
-        else:
-            seen[name] = 1
-            out.append(name)
+        name = first = h if h not in (None, "") else f"Unnamed: {i}"
+        k = 0
+        while name.lower() in taken:
+            k += 1
+            name = f"{first}.{k}"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
@@ -92,6 +89,12 @@ def read_keyed_csv(spark: SparkSession, path: str, key_header: str = "Project ke
     return df
 
 
+def _resolved(path: str) -> str:
+    """A local path without links; a path of another store as it is."""
+    local = re.sub(r"^file:/+", "/", path)
+    return os.path.realpath(local) if local.startswith("/") else path
+
+
 def csv_inventory(spark: SparkSession, roots: list[str], pattern: str = "*.csv") -> DataFrame:
     """One row per distinct CSV file: file name, path, n_rows (records), n_cols (header width).
 
@@ -106,7 +109,7 @@ def csv_inventory(spark: SparkSession, roots: list[str], pattern: str = "*.csv")
         return spark.createDataFrame([], schema)
     listing = spark.read.format("binaryFile").load(globs).select("path")
     # the listing is file metadata (one row per file), not table data
-    files = sorted({os.path.realpath(re.sub(r"^file:/+", "/", r["path"])) for r in listing.collect()})
+    files = sorted({_resolved(r["path"]) for r in listing.collect()})
     if not files:
         return spark.createDataFrame([], schema)
     norm = F.regexp_replace(F.input_file_name(), "^file:/+", "/")

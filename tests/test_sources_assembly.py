@@ -55,3 +55,12 @@ def test_keyed_csv_splittable(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == 50 and rows["k0"] == "0" and rows["k49"] == "49"   # first row per key in file order
+
+
+def test_headers_that_differ_in_case(spark, tmp_path):
+    from quire.sources.csv import _resolved, pandas_style_names, read_keyed_csv
+    assert pandas_style_names(["a", "A", "a", None, "a.1"]) == ["a", "A.1", "a.2", "Unnamed: 3", "a.1.1"]
+    (tmp_path / "t.csv").write_text("Project key,Score,score\np1,1,2\n")
+    row = read_keyed_csv(spark, str(tmp_path / "t.csv")).first()
+    assert row["Score"] == "1" and row["score.1"] == "2"
+    assert _resolved("hdfs://host/data/a.csv") == "hdfs://host/data/a.csv"
