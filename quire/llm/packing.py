@@ -32,8 +32,8 @@ from .common import beside, blocks, documents, stable
 
 CAPACITY = 4096
 END_ID = 1
-#: Characters encoded at a time; words remembered by a task; longest word remembered.
-BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 20, 1 << 19, 64
+#: Characters encoded at a time; words remembered by a worker in each of two generations; longest word remembered.
+BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 20, 1 << 18, 64
 #: A digit is always a word piece of its own for the tokenizer; new words encoded in one text.
 MARK, TOGETHER = "0", 1024
 #: What the last piece of each run of letters, digits or other characters ends with in the tokenizer's vocabulary.
