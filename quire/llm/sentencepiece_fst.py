@@ -36,7 +36,7 @@ from .common import beside, blocks, documents
 MARK, CUT_MARK = "▁", "\0"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words (in two generations) and pairs of pieces that a worker remembers; longest word remembered; characters between two cuts of a long word.
-REMEMBERED, PAIRS, LONGEST, CUT = 1 << 18, 1 << 20, 64, 1 << 12
+REMEMBERED, PAIRS, LONGEST, CUT = 1 << 18, 1 << 19, 64, 1 << 12
 BLOCK_CHARS = 1 << 20
 #: Weight of a byte arc; any piece is lighter.
 BYTE_COST = 1e6
@@ -302,8 +302,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             flat = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
             n = [len(r) // 4 for r in raw]
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            ids = flat.tolist()
-            equal = [fst.decode(ids[s:e]) == (t or "") for t, s, e in zip(texts, ends.tolist(), ends[1:].tolist())]
+            equal = [fst.decode(flat[s:e].tolist()) == (t or "") for t, s, e in zip(texts, ends.tolist(), ends[1:].tolist())]
             return {"n_ids": n, "ids_crc32": [zlib.crc32(r) for r in raw], "ids": pa.ListArray.from_arrays(ends, flat), "decoded_equal": equal}
         return run
 
