@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import islice
 
 import numpy as np
 from pyspark import TaskContext
@@ -32,8 +33,8 @@ from .common import beside, blocks, documents, stable
 
 CAPACITY = 4096
 END_ID = 1
-#: Characters encoded at a time; words remembered by a worker in each of two generations; longest word remembered.
-BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 20, 1 << 18, 64
+#: Characters encoded at a time; words that a worker keeps, and new ones it first holds on trial; longest word remembered.
+BLOCK_CHARS, REMEMBERED, TRIAL, LONGEST = 1 << 20, 3 << 17, 1 << 17, 64
 #: A digit is always a word piece of its own for the tokenizer; new words encoded in one text.
 MARK, TOGETHER = "0", 1024
 #: What the last piece of each run of letters, digits or other characters ends with in the tokenizer's vocabulary.
@@ -53,8 +54,8 @@ class WordEncoder:
     those of its space-separated words in a row (``tests/llm`` compares with whole texts).
     Special tokens hold no space; with ``special_as_text`` their strings are split like any
     other word, without it they become their ids, as the tokenizer does by itself.
-    Two generations of words are remembered: when the young one is full it becomes the old one, and
-    words met again move back, so common words stay.
+    New words are held on trial, ``TRIAL`` at a time: those not met again while the next ones are on trial are forgotten, the others stay
+    (``REMEMBERED`` of them at most, the oldest go first). Most words occur once, so few of them take room.
     """
 
     def __init__(self, path: str, special_as_text: bool = True):
@@ -64,7 +65,8 @@ class WordEncoder:
         tok.encode_special_tokens = special_as_text
         self.batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
         self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.trial: set[str] = set()
+        self.leaving: set[str] = set()
         (self.mark_id,) = tok.encode(MARK, add_special_tokens=False).ids
         vocabulary = tok.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -83,9 +85,6 @@ class WordEncoder:
             self._cut(part, ids, np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1)
 
     def _learn(self, new: set[str]) -> None:
-        for w in [w for w in new if w in self.old]:
-            self.known[w] = self.old[w]
-            new.discard(w)
         alone = [w for w in new if MARK in w]
         for w, e in zip(alone, self.batch(alone, add_special_tokens=False)):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
@@ -106,17 +105,29 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.old = {}, self.known
-        new = set().union(*split).difference(self.known)
-        long = [w for w in new if len(w) > LONGEST]
+        distinct = set().union(*split)
+        new = distinct.difference(self.known)
         self._learn(new)
         of = self.known.__getitem__
         out = [b"".join(map(of, words)) for words in split]
-        for w in long:
-            self.known.pop(w, None)
+        self._forget(distinct, new)
         return out
 
+    def _forget(self, met: set[str], new: set[str]) -> None:
+        self.leaving -= met
+        for w in [w for w in new if len(w) > LONGEST]:
+            del self.known[w]
+            new.discard(w)
+        self.trial |= new
+        if len(self.trial) > TRIAL:
+            for w in self.leaving:
+                del self.known[w]
+            self.leaving, self.trial = self.trial, set()
+        if len(self.known) > REMEMBERED + len(self.leaving) + len(self.trial):
+            settled = (w for w in self.known if w not in self.leaving and w not in self.trial)
+            for w in list(islice(settled, REMEMBERED // 4)):
+                del self.known[w]
+
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
 

@@ -312,6 +312,21 @@ def test_word_encoder_equals_whole_texts(small):
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_encoder_forgets_within_bounds(monkeypatch):
+    monkeypatch.setattr(packing, "TRIAL", 40)
+    monkeypatch.setattr(packing, "REMEMBERED", 60)
+    enc, plain = packing.WordEncoder(packing.tokenizer_path()), packing.WordEncoder(packing.tokenizer_path())
+    rng = random.Random(3)
+    for k in range(60):
+        texts = [" ".join([f"word{rng.choice('abcdefgh')}{rng.randrange(10 ** rng.randint(1, 4))}" for _ in range(15)] + ["common", "x" * 70]) for _ in range(2)]
+        got = enc.encode(texts)
+        plain.known, plain.trial, plain.leaving = {}, set(), set()
+        assert got == plain.encode(texts)
+        assert len(enc.known) <= 60 + 2 * (40 + 40) and "x" * 70 not in enc.known
+        assert enc.trial <= set(enc.known) and enc.leaving <= set(enc.known)
+    assert "common" in enc.known
+
+
 def test_packing_of_special_tokens(spark):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.tokenizer_path())
