@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
             return {"ids": [a[places[a] == p].astype(np.int32) for a, p in zip(at, own)]}
         return run
 
-    active = stable(beside(rows, make, "ids array<int>", keep=["y", "batch"], read=["places"]).repartition("batch"))
+    active = stable(beside(rows, make, "ids array<int>", keep=["y", "batch"], read=["places"]))
     z, n, w = (np.zeros(len(places) + 1) for _ in range(3))
     bound = np.append(np.full(len(places), l1), 0.0)
     w[-1] = math.log(share / (1 - share))
