@@ -62,14 +62,10 @@ def mixture_of_experts(train: DataFrame, test: DataFrame, families: dict[str, Se
     gate_train = wide([r[0] for r in results], train)
     gate_test = wide([r[1] for r in results], test)
     pcols = [f"p_{n}" for n in names]
-    gate = LogisticRegression(featuresCol="_g", labelCol=label, weightCol=WEIGHT)
-    data = VectorAssembler(inputCols=pcols, outputCol="_g").transform(add_balanced_weight(gate_train, label))
-    model = gate.fit(data.persist())
-    out = model.transform(VectorAssembler(inputCols=pcols, outputCol="_g").transform(gate_test))
-    from pyspark.ml.functions import vector_to_array
+    gate = build_model("logistic_regression", {"C": float("inf")}).fit(gate_train, pcols, label)
+    out = gate.predict(gate_test, keep=[key, label, *pcols])
     folded.unpersist()
-    return out.select(quote(key), quote(label), F.col("prediction").cast("int").alias("prediction"),
-                      vector_to_array("probability")[1].alias("score"), *pcols)
+    return out.select(quote(key), quote(label), "prediction", "score", *pcols)
 
 
 def value_tokens(df: DataFrame, cols: Sequence[str], name: str = "tokens") -> DataFrame:
