@@ -3,8 +3,9 @@
 Mixture of experts: one expert per feature family (columns chosen by name
 prefix). Each expert's out-of-fold probabilities on the training part (k
 stratified folds) train a class-balanced logistic gate; experts refitted on
-the whole training part score the test part, and the gate combines them. The
-per-family probability frames are unioned and pivoted on the key (one
+the whole training part score the test part, and the gate combines them. Logistic
+experts of all families and folds share every pass over the rows and score as expressions
+beside the row; the probability frames of others are unioned and pivoted on the key (one
 shuffle), never joined pairwise.
 
 Text-aware selection: non-numeric fields become ``column=value`` tokens, which
@@ -16,7 +17,6 @@ regression is fitted on the kept ones.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.columns import columns_with_prefix, quote
-from quire.operators.models import WEIGHT, add_balanced_weight, build_model
+from quire.operators.models import WEIGHT, Linear, add_balanced_weight, build_model, fit_folds, fold_score, held_out
 from quire.operators.split import stratified_folds
 
 
@@ -39,19 +39,14 @@ def mixture_of_experts(train: DataFrame, test: DataFrame, families: dict[str, Se
         raise ValueError("no feature family has columns")
     folded = stratified_folds(train, key, label, k=k, seed=seed).cache()
 
-    def oof(item):
-        fam, cols = item
-        parts = []
-        for f in range(k):
-            fitted = build_model(expert).fit(folded.where(F.col("fold") != f), cols, label)
-            parts.append(fitted.predict(folded.where(F.col("fold") == f), keep=[key]))
-        full = build_model(expert).fit(train, cols, label).predict(test, keep=[key])
-        return (reduce(DataFrame.unionByName, parts).select(key, F.lit(fam).alias("family"), "score"),
-                full.select(key, F.lit(fam).alias("family"), "score"))
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(oof, fams.items()))
     names = list(fams)
+    every = list(dict.fromkeys(c for cols in fams.values() for c in cols))
+    fitted = dict(zip(names, fit_folds(build_model(expert), folded, every, label, [*range(k), None], list(fams.values()), parallelism=parallelism)))
+
+    pcols = [f"p_{n}" for n in names]
+
+    def scores(fam):
+        return [df.select(key, F.lit(fam).alias("family"), "score") for df in (held_out(fitted[fam][:k], folded, [key]), fitted[fam][k].predict(test, keep=[key]))]
 
     def wide(frames, base):
         long = reduce(DataFrame.unionByName, frames)
@@ -59,9 +54,14 @@ def mixture_of_experts(train: DataFrame, test: DataFrame, families: dict[str, Se
         piv = piv.select(key, *[F.col(n).alias(f"p_{n}") for n in names])
         return base.select(quote(key), quote(label)).join(piv, key, "left").na.fill(0.5)
 
-    gate_train = wide([r[0] for r in results], train)
-    gate_test = wide([r[1] for r in results], test)
-    pcols = [f"p_{n}" for n in names]
+    if all(isinstance(m, Linear) for own in fitted.values() for m in own):
+        # Linear experts are expressions: a row's scores stand beside it, nothing is joined.
+        base = [quote(key), quote(label)]
+        gate_train = folded.select(*base, *[fold_score(fitted[n][:k]).alias(p) for n, p in zip(names, pcols)]).na.fill(0.5)
+        gate_test = test.select(*base, *[fitted[n][k].score().alias(p) for n, p in zip(names, pcols)]).na.fill(0.5)
+    else:
+        results = [scores(fam) for fam in names]
+        gate_train, gate_test = wide([r[0] for r in results], train), wide([r[1] for r in results], test)
     gate = build_model("logistic_regression", {"C": float("inf")}).fit(gate_train, pcols, label)
     out = gate.predict(gate_test, keep=[key, label, *pcols])
     folded.unpersist()
