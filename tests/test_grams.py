@@ -52,3 +52,32 @@ def test_a_term_leaves_its_block_once():
     sent = pa.Table.from_batches(grams._sent(0, block))
     assert sum(map(len, sent["letters"].to_pylist())) == len("same" + "words" + "same words")
     assert np.frombuffer(b"".join(sent["df"].to_pylist()), dtype=np.int32).tolist() == [500] * 3
+
+
+def test_cells_decompose_as_the_long_table_does(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from quire.operators.linalg import randomized_svd_long
+    from quire.operators.reducers.lsa import LSAReducer
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(25)]
+    docs = [(i, " ".join(rng.choice(words[:8 + i % 3 * 8], rng.integers(4, 30)))) for i in range(80)] + [(90, None), (None, "w1 w2")]
+    df = spark.createDataFrame(docs, "id long, text string")
+    monkeypatch.setattr(grams, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(grams, "SLICE_CHARS", 300)
+    # The fit forms no long table: entries stay in their cells.
+    with monkeypatch.context() as m:
+        m.setattr(text, "term_counts", None)
+        m.setattr("quire.operators.reducers.lsa.term_counts", None)
+        model = LSAReducer(n_components=3, n_iter=6).fit(df, "id", "text")
+        rows = model.transform(df, ["id"])
+        got = {r[0]: r[1:] for r in rows.collect()}
+    long = text.tfidf(df, "id", "text", 3, 10**6)
+    values, factor = randomized_svd_long(long, "id", "term", "tfidf", 3, n_iter=6)
+    assert np.allclose(model.singular_values, values, rtol=1e-4)
+    mine = {r[0]: r[1:] for r in model.factor.collect()}
+    theirs = {r[0]: r[1:] for r in factor.collect()}
+    assert set(mine) == set(theirs) and abs(sum(mine[t][0] * theirs[t][0] for t in mine)) > 0.99999
+    # Coordinates of the fitted frame are those that any frame gets.
+    again = {r[0]: r[1:] for r in model.transform(df.select(F.col("id"), "text"), ["id"]).collect()}
+    assert len(got) == 82 and set(got) == set(again)
+    assert all(np.allclose(got[k], again[k], atol=1e-9) for k in got)
