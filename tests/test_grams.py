@@ -81,3 +81,49 @@ def test_cells_decompose_as_the_long_table_does(spark, monkeypatch):
     again = {r[0]: r[1:] for r in model.transform(df.select(F.col("id"), "text"), ["id"]).collect()}
     assert len(got) == 82 and set(got) == set(again)
     assert all(np.allclose(got[k], again[k], atol=1e-9) for k in got)
+
+
+def test_numbers_are_packed():
+    for x in (np.zeros(0, dtype=np.int64), np.array([0]), np.array([1, 255]), np.arange(70_000), np.array([7, 1 << 40])):
+        assert grams._unpacked(grams._packed(x)).tolist() == x.tolist()
+    assert len(grams._packed(np.arange(100_000) % 7)) < 10_000
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    it, out = files.iterator(), set()
+    while it.hasNext():
+        out.add(it.next().getName())
+    return {f for f in out if f.startswith("shuffle_")}
+
+
+def test_what_a_pass_moves_does_not_stay_on_disk(spark):
+    import time
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, " ".join(rng.choice([f"w{j}" for j in range(40)], 20))) for i in range(200)], "id long, text string")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, setting = _shuffle_files(spark), spark.conf.get(name, None)
+    got = grams.block_svd(df, "id", "text", 3)
+    assert spark.conf.get(name, None) == setting
+    until = time.time() + 20
+    while _shuffle_files(spark) - held and time.time() < until:
+        time.sleep(0.5)
+    assert not _shuffle_files(spark) - held
+    assert got.scores.count() == 200
+
+
+def test_cells_are_small_and_slices_apart(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(grams, "BLOCK_CHARS", 100_000)
+    words = np.array([f"w{i}" for i in range(3000)])
+    df = spark.createDataFrame([(i, " ".join(words[(3000 * rng.random(150) ** 3).astype(int)])) for i in range(1500)], "id long, text string").repartition(4)
+    docs, n, n_docs, _ = grams._documents(df, "id", "text")
+    cells, named = grams._cells(docs, n, 3, n_docs, 3, 2)
+    held = cells.where("gaps is not null").collect()
+    entries = sum(len(grams._unpacked(r["gaps"])) for r in held)
+    assert entries == text.tfidf(df, "id", "text").count() and len(named) == 3
+    assert sum(len(r["gaps"]) + len(r["tf"]) for r in held) < 3 * entries
+    # A shuffle by slice puts every slice into a partition of its own.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cells.where("totals is not null").repartition(parts, "slice").selectExpr("slice", "spark_partition_id() as p").collect()
+    assert len({r["p"] for r in placed}) == 3
