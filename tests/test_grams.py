@@ -127,3 +127,12 @@ def test_cells_are_small_and_slices_apart(spark, monkeypatch):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = cells.where("totals is not null").repartition(parts, "slice").selectExpr("slice", "spark_partition_id() as p").collect()
     assert len({r["p"] for r in placed}) == 3
+
+
+def test_a_slice_sums_its_cells_together():
+    """As many sums over all terms as the entries need, not one a cell."""
+    rng = np.random.default_rng(3)
+    cells = [(rng.integers(0, 9, 40), rng.integers(0, 50, 40), rng.random(40), rng.random((2, 9))) for _ in range(20)]
+    want = sum(grams._sums(term, y, doc, 50, w) for doc, term, w, y in cells)
+    got = list(grams._together(iter(cells), 200))
+    assert len(got) == 4 and np.allclose(sum(grams._sums(term, y, doc, 50, w) for doc, term, w, y in got), want, atol=1e-12)
